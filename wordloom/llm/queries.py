@@ -5,17 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import Scratch, ship
 from . import sql
 from .license_scan import license_scan
 from .line_frequency import line_frequency
+from .packing import pack_documents
+from .token_shards import document_keys, write_shards
 from .url_cascade import judge_urls
 
 BLOCKED = ["net/", "example.com/de/"]
 ALLOWED = ["example.net/en/", "org/fr/"]
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Where this machine keeps a public tokenizer; executors have the same installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,10 +43,22 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency(_table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    store = write_shards(docs, Scratch(spark, "shards").path("store"), tokenizer_file())
+    return store.digests(document_keys(docs)).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op5_url_cascade": op5_url_cascade,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op9_line_frequency": op9_line_frequency,
+    "op10_token_shards": op10_token_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
