@@ -12,6 +12,7 @@ from . import sql
 from .license_scan import license_scan
 from .line_frequency import line_frequency
 from .packing import pack_documents
+from .substring import remove_repeats
 from .token_shards import document_keys, write_shards
 from .url_cascade import judge_urls
 
@@ -35,6 +36,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), BLOCKED, ALLOWED)
 
@@ -55,6 +60,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_url_cascade": op5_url_cascade,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_line_frequency": op9_line_frequency,
