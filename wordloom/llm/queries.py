@@ -11,6 +11,7 @@ from ..session import Scratch, ship
 from . import sql
 from .license_scan import license_scan
 from .line_frequency import line_frequency
+from .near_dup import near_duplicates
 from .packing import pack_documents
 from .substring import remove_repeats
 from .token_shards import document_keys, write_shards
@@ -52,6 +53,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     store = write_shards(docs, Scratch(spark, "shards").path("store"), tokenizer_file())
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op5_url_cascade": op5_url_cascade,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_line_frequency": op9_line_frequency,
     "op10_token_shards": op10_token_shards,
 }
