@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 from .tokens import split_words
@@ -32,9 +35,18 @@ class Spans:
     """Words of a batch of texts and span hashes over them: the sum of word hashes times powers of an odd base,
     modulo 2**64, made independent of the place by the inverse power."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, normal: Callable[[pa.Array], pa.Array] | None = None):
+        """normal maps distinct words to what is hashed; words that it maps to an empty string are left out."""
         self.first, self.words = split_words(texts)
         coded = self.words.dictionary_encode()
+        if normal is not None:
+            mapped = normal(coded.dictionary)
+            full = pc.not_equal(pc.binary_length(mapped), 0).to_numpy(zero_copy_only=False)
+            which = coded.indices.to_numpy()
+            kept = full[which]
+            self.first = np.concatenate(([0], np.cumsum(kept)))[self.first]
+            self.words = self.words.filter(pa.array(kept))
+            coded = pa.DictionaryArray.from_arrays(pa.array(which[kept]), mapped)
         distinct = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
         self.hashes = distinct[coded.indices.to_numpy()]
         n = len(self.hashes)
