@@ -36,9 +36,16 @@ def build_session(cores: int = 8, app: str = "wordloom", **conf: str) -> SparkSe
     return spark
 
 
+#: Rows in an Arrow batch. Spark's default, 10,000, makes batches of texts too large for an executor's free memory.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package once per application, so that Arrow functions find it."""
+    """Give the executors this package once per application, so that Arrow functions find it, and keep Arrow
+    batches small where the session has Spark's default."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(sc, "_wordloom_shipped", False):
         return
     buffer = io.BytesIO()
