@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import Scratch, ship
 from . import sql
 from .decontaminate import contaminated
+from .language_id import identify_language
 from .license_scan import license_scan
 from .line_frequency import line_frequency
 from .near_dup import near_duplicates
@@ -59,6 +60,10 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency(_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(_table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_url_cascade": op5_url_cascade,
+    "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_line_frequency": op9_line_frequency,
