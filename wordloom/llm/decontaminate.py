@@ -26,6 +26,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.4
 SLICE = 6 << 20
 FILTER_BITS = 22
+_MASK = np.uint64((1 << FILTER_BITS) - 1)
 
 
 def normal_words(words: pa.Array) -> pa.Array:
@@ -132,49 +133,57 @@ def _clusters(places: list[int], reach: int) -> Iterator[tuple[int, int]]:
     yield low, high
 
 
-def _search(docs: DataFrame, items: Items, seeds: Seeds, least: float) -> DataFrame:
-    kind = T.StructType([docs.schema["id"], T.StructField("item", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("seeds", T.LongType()), T.StructField("word_end", T.LongType())])
-    mask = np.uint64((1 << FILTER_BITS) - 1)
-    quick = {}
-    for n, h in seeds.hashes.items():
-        quick[n] = np.zeros(1 << FILTER_BITS, bool)
-        quick[n][(h & mask).astype(np.int64)] = True
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                spans = Spans(part.column("text"), normal_words)
-                hits: dict[tuple[int, int], list[int]] = defaultdict(list)
-                for n, table in seeds.hashes.items():
-                    if not len(table):
-                        continue
-                    grams = spans.every(n)
-                    at = np.flatnonzero(quick[n][(grams & mask).astype(np.int64)])
-                    low, high = np.searchsorted(table, grams[at], "left"), np.searchsorted(table, grams[at], "right")
-                    at, low, high = at[high > low], low[high > low], high[high > low]
-                    doc = spans.text_of(at)
-                    inside = at + n <= spans.first[doc + 1]
-                    for a, d, lo, hi in zip(at[inside].tolist(), doc[inside].tolist(), low[inside].tolist(), high[inside].tolist()):
-                        for s in range(lo, hi):
-                            hits[d, int(seeds.items[n][s])].append(a - int(seeds.places[n][s]))
-                rows = []
-                for (d, i), starts in hits.items():
-                    item = items.hashes[items.first[i] : items.first[i + 1]]
-                    best, end = 0.0, 0
-                    count = len(starts)
-                    for low, high in _clusters(starts, len(item)):
-                        a = max(int(spans.first[d]), low - len(item) // 2 - 1)
-                        b = min(int(spans.first[d + 1]), high + len(item) + len(item) // 2 + 1)
-                        score, stop = smith_waterman(item, spans.hashes[a:b])
-                        if score / (MATCH * len(item)) > best:
-                            best, end = score / (MATCH * len(item)), a + stop - int(spans.first[d])
-                    if best >= least:
-                        rows.append((d, i, best, count, end))
-                if rows:
-                    columns = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(columns[0])), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], kind.names)
-
-    return docs.mapInArrow(find, kind)
+class Finder:
+    """Finds one block of items in slices of texts."""
+
+    def __init__(self, items: Items, seeds: Seeds, least: float):
+        self.items, self.seeds, self.least = items, seeds, least
+        self.quick = {}
+        for n, h in seeds.hashes.items():
+            self.quick[n] = np.zeros(1 << FILTER_BITS, bool)
+            self.quick[n][(h & _MASK).astype(np.int64)] = True
+
+    def find(self, texts: pa.Array) -> list[tuple[int, int, float, int, int]]:
+        """(text, item, score, seeds found, word where the best alignment ends) of every pair that reaches ``least``."""
+        spans = Spans(texts, normal_words)
+        hits: dict[tuple[int, int], list[int]] = defaultdict(list)
+        for n, table in self.seeds.hashes.items():
+            if not len(table):
+                continue
+            grams = spans.every(n)
+            at = np.flatnonzero(self.quick[n][(grams & _MASK).astype(np.int64)])
+            low, high = np.searchsorted(table, grams[at], "left"), np.searchsorted(table, grams[at], "right")
+            at, low, high = at[high > low], low[high > low], high[high > low]
+            doc = spans.text_of(at)
+            inside = at + n <= spans.first[doc + 1]
+            for a, d, lo, hi in zip(at[inside].tolist(), doc[inside].tolist(), low[inside].tolist(), high[inside].tolist()):
+                for s in range(lo, hi):
+                    hits[d, int(self.seeds.items[n][s])].append(a - int(self.seeds.places[n][s]))
+        rows = []
+        for (d, i), starts in hits.items():
+            item = self.items.hashes[self.items.first[i] : self.items.first[i + 1]]
+            best, end = 0.0, 0
+            for low, high in _clusters(starts, len(item)):
+                a = max(int(spans.first[d]), low - len(item) // 2 - 1)
+                b = min(int(spans.first[d + 1]), high + len(item) + len(item) // 2 + 1)
+                score, stop = smith_waterman(item, spans.hashes[a:b])
+                if score / (MATCH * len(item)) > best:
+                    best, end = score / (MATCH * len(item)), a + stop - int(spans.first[d])
+            if best >= self.least:
+                rows.append((d, i, best, len(starts), end))
+        return rows
+
+
+def _finders(docs: DataFrame, tests: DataFrame, least: float) -> Iterator[Finder]:
+    """docs with a column text, tests (item_id, text): one finder for each block of items."""
+    tests = tests.where(F.col("text").isNotNull())
+    words = tests.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    blocks = max(1, -(-words // BLOCK_WORDS))
+    for block in range(blocks):
+        rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        items = Items.of([r["item_id"] for r in rows], [r["text"] for r in rows])
+        counts, total = word_counts(docs, np.unique(items.hashes))
+        yield Finder(items, Seeds.of(items, counts, total), least)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
@@ -191,17 +200,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     what goes to the executors is a block of items, whose size that limit bounds.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    tests = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
-    words = tests.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = max(1, -(-words // BLOCK_WORDS))
-    spark = docs.sparkSession
+    tests = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"))
+    kind = T.StructType([base.schema["id"], T.StructField("item_id", tests.schema["item_id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("n_seeds", T.LongType()), T.StructField("word_end", T.LongType())])
     out = None
-    for block in range(blocks):
-        rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        items = Items.of([r["item_id"] for r in rows], [r["text"] for r in rows])
-        counts, total = word_counts(base, np.unique(items.hashes))
-        found = _search(base, items, Seeds.of(items, counts, total), least)
-        names = spark.createDataFrame([(i, x) for i, x in enumerate(items.ids)], T.StructType([T.StructField("item", T.IntegerType()), tests.schema["item_id"]]))
-        pairs = found.join(names, "item").select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "score", F.col("seeds").alias("n_seeds"), "word_end")
+    for finder in _finders(base, tests, least):
+        pairs = base.mapInArrow(_pairs_of(finder, kind), kind)
         out = pairs if out is None else out.unionByName(pairs)
+    return out.withColumnsRenamed({"id": id_col, "item_id": item_col})
+
+
+def _pairs_of(finder: Finder, kind: T.StructType):
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                rows = finder.find(part.column("text"))
+                if rows:
+                    doc, item, score, seeds, end = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(doc)), pa.array([finder.items.ids[i] for i in item]), pa.array(score, pa.float64()), pa.array(seeds, pa.int64()), pa.array(end, pa.int64())], kind.names)
+
+    return pairs
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """docs without the rows that hold a test item, all columns kept; what holds for ``contaminated`` holds here."""
+    tests = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"))
+    out = docs
+    for finder in _finders(docs.select(F.col(text_col).alias("text")), tests, least):
+        out = out.mapInArrow(_clean_of(finder, text_col), docs.schema)
     return out
+
+
+def _clean_of(finder: Finder, text_col: str):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col, SLICE):
+                kept = np.ones(part.num_rows, bool)
+                kept[[row[0] for row in finder.find(part.column(text_col))]] = False
+                yield part.filter(pa.array(kept))
+
+    return clean

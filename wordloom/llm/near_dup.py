@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,7 +119,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Components of documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
     Columns: id, th (a hash of the text), n_shingles, component_id (the least id of the component), kept
-    (id equals component_id). A-Z are lower-cased first. Null and empty texts, and texts without words,
+    (id equals component_id), chosen (kept, and the first by text hash among rows of that id). A-Z are lower-cased first. Null and empty texts, and texts without words,
     have no shingles and form components of their own. Documents with equal sets are linked through
     their set, so copies cost a row each and no pairs; repeated rows come out as often as they went in.
     Null ids take part but never name a component unless all its ids are null. Empty input gives an
@@ -166,10 +166,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         roots = scratch.keep(components(_joined_ties(roots, more), scratch, "third"), "roots2")
 
     rooted = signed.select("id", "th", "sid", "n").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = rooted.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "th")
+    least = rooted.where("n > 0").groupBy("root").agg(F.min(order).alias("least"))
     named = rooted.join(least, "root", "left")
-    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))
-    return named.select(F.col("id").alias(id_col), "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    component = F.when(F.col("n") > 0, F.col("least.id")).otherwise(F.col("id"))
+    chosen = (F.col("n") == 0) | (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("th") == F.col("least.th")))
+    return named.select(F.col("id").alias(id_col), "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), chosen.alias("chosen"))
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component of ``near_duplicates``, the first by id and text hash, all columns kept; rows without shingles stay."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    mark = "_text_hash"
+    hashed = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    keys = found.where("chosen").select(F.col(id_col).alias("kid"), F.col("th").alias("kth"), (F.col("n_shingles") == 0).alias("bare")).distinct()
+    kept = hashed.join(keys, hashed[id_col].eqNullSafe(keys["kid"]) & (hashed[mark] == keys["kth"]))
+    nth = F.row_number().over(Window.partitionBy(id_col, mark).orderBy(F.lit(1)))
+    return kept.withColumn("_nth", nth).where("_nth = 1 or bare").select(*docs.columns)
 
 
 def _joined_ties(roots: DataFrame, ties: DataFrame) -> DataFrame:

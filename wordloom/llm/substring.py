@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import Scratch
-from .tokens import ragged, slices
+from .tokens import ragged, slices, split_words
 from .word_hash import Spans
 
 WINDOW = 35
@@ -54,8 +54,11 @@ class Keyed:
     frame: DataFrame
 
     @classmethod
-    def of(cls, docs: DataFrame, id_col: str, text_col: str) -> Keyed:
-        return cls(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("th"), "text"))
+    def of(cls, docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> Keyed:
+        """With ``carry``, a column row holds the whole input row."""
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        whole = [F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row")] if carry else []
+        return cls(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), *whole))
 
 
 def anchored_paths(docs: DataFrame, window: int) -> DataFrame:
@@ -106,7 +109,7 @@ def _opened(kinds: DataFrame, docs: DataFrame, window: int) -> DataFrame:
 
 def _with_docs(docs: DataFrame, extra: DataFrame, column: str, how: str) -> DataFrame:
     d, e = docs.alias("d"), extra.alias("e")
-    return d.join(e, F.col("d.id").eqNullSafe(F.col("e.id")) & (F.col("d.th") == F.col("e.th")), how).select("d.id", "d.th", "d.text", f"e.{column}")
+    return d.join(e, F.col("d.id").eqNullSafe(F.col("e.id")) & (F.col("d.th") == F.col("e.th")), how).select("d.*", f"e.{column}")
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
@@ -125,6 +128,18 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW) ->
     return plain.unionByName(equal).unionByName(single)
 
 
+def _covered(first: np.ndarray, n: int, lists: pa.Array, window: int) -> np.ndarray:
+    """Which of n words the runs of windows of each text cover."""
+    flat = lists.flatten()
+    doc = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    edge = np.zeros(n + 1, np.int64)
+    if len(doc):
+        begin = first[doc] + flat.field(0).to_numpy(zero_copy_only=False)
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, begin + flat.field(1).to_numpy(zero_copy_only=False) + window - 1, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False) -> DataFrame:
     """Remove every word that a repeated window covers, windows being judged on the input.
 
@@ -149,20 +164,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         kind = T.StructType([*kind.fields, *_fields("th"), T.StructField("kept_text", T.StringType()), T.StructField("spans", span)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import split_words
-
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 first, words = split_words(part.column("text"))
-                lists = part.column("runs")
-                flat = lists.flatten()
-                doc = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-                edge = np.zeros(len(words) + 1, np.int64)
-                if len(doc):
-                    begin = first[doc] + flat.field(0).to_numpy(zero_copy_only=False)
-                    np.add.at(edge, begin, 1)
-                    np.add.at(edge, begin + flat.field(1).to_numpy(zero_copy_only=False) + window - 1, -1)
-                gone = np.cumsum(edge[:-1]) > 0
+                gone = _covered(first, len(words), part.column("runs"), window)
                 kept_before = np.concatenate(([0], np.cumsum(~gone)))[first]
                 kept = pa.ListArray.from_arrays(pa.array(kept_before.astype(np.int32)), words.filter(pa.array(~gone)))
                 texts = pc.binary_join(kept, pa.scalar(" ", pa.large_string()))
@@ -184,3 +189,35 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays(columns, kind.names)
 
     return _with_docs(keyed, runs, "runs", "left").mapInArrow(cut, kind).withColumnRenamed("id", id_col)
+
+
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """docs with the words of repeated windows cut out of the text, all rows and columns kept.
+
+    A text that loses nothing is left as it is, nulls too; of others the kept words are joined by one
+    space, and where a column n_chars goes with the text it is counted again.
+    """
+    scratch = Scratch(docs.sparkSession, "substring")
+    plain = Keyed.of(docs, id_col, text_col).frame
+    runs = repeated_windows(plain, scratch, window).groupBy("id", "th").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    joined = _with_docs(Keyed.of(docs.withColumn("_missing", F.col(text_col).isNull()), id_col, text_col, carry=True).frame, runs, "runs", "left")
+    kind = T.StructType([joined.schema["row"], T.StructField("text", T.StringType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                first, words = split_words(part.column("text"))
+                gone = _covered(first, len(words), part.column("runs"), window)
+                kept_before = np.concatenate(([0], np.cumsum(~gone)))[first]
+                kept = pa.ListArray.from_arrays(pa.array(kept_before.astype(np.int32)), words.filter(pa.array(~gone)))
+                texts = pc.binary_join(kept, pa.scalar(" ", pa.large_string())).cast(pa.string())
+                whole = pa.array(np.diff(kept_before) == np.diff(first))
+                yield pa.RecordBatch.from_arrays([part.column("row"), pc.if_else(whole, part.column("text").cast(pa.string()), texts)], kind.names)
+
+    out = joined.mapInArrow(cut, kind)
+    text = F.when(F.col("row._missing"), F.lit(None)).otherwise(F.col("text"))
+    columns = [text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    out = out.select(*columns)
+    if "n_chars" in docs.columns and text_col == "text":
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return out

@@ -342,3 +342,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
     scored = base.select("id", (~learned_from(F.col("id"))).alias("held_out"), "text").mapInArrow(score, kind)
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows whose score reaches ``threshold``, all columns kept; what holds for ``score_toxicity`` holds here."""
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    model = fit_toxicity(base, labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col, SLICE):
+                yield part.filter(pa.array(model.score(part.column(text_col)) < threshold))
+
+    return docs.mapInArrow(clean, docs.schema)
