@@ -4,9 +4,10 @@ Each of ``TREES`` independent trees branches the distinct shingle sets by one mi
 node of at most ``NODE`` sets is compared exhaustively; a larger one branches again, down to ``DEPTH``
 levels. Two sets of similarity s share a branch with probability s, so at 0.75 a pair is missed by all
 trees with probability 0.25**20 where nodes stay small, and (1 - 0.75**3)**20, 2e-5, where all branch
-to the end. Nodes that are still large there hold sets that are mostly alike: each is tied to one of
-its own first, and then whatever lies in different components of such a node is compared as well, so
-that no tie is lost to the size of a node. All ties are confirmed on the full sets.
+three times. Crowds that share a passage but little else part in a few levels; what is still together
+after the last is mostly alike. Each set there is tied to one of its node first; then sets outside the
+main component of such a node are compared with all of that component, in blocks, and with each other,
+so that no tie is lost to the size of a node. All ties are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -27,7 +28,11 @@ from .tokens import slices
 from .word_hash import Spans
 
 SHINGLE = 5
-TREES, DEPTH, NODE = 20, 3, 16
+TREES, DEPTH, NODE = 20, 8, 16
+#: Levels that a tree has minwise shingles of its own for; deeper ones take those of the next trees.
+OWN = 3
+#: Sets on each side of a block of comparisons with a component.
+BLOCK = 256
 SLICE = 6 << 20
 
 
@@ -84,28 +89,41 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(read, kind)
 
 
-def _pairs(members: DataFrame, percent: int, also: str | None = None) -> DataFrame:
-    """(a, b) with a < b of the sets that share a node, if their sizes allow the similarity."""
+def _pairs(members: DataFrame, percent: int, apart: bool = False) -> DataFrame:
+    """(a, b) with a < b of the sets that share a node, if their sizes allow the similarity; with ``apart`` only those of
+    different roots whose signatures allow it too: for 60 values, over five deviations below what it predicts."""
     x, y = members.alias("x"), members.alias("y")
     fits = (F.col("x.sid") < F.col("y.sid")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    if also:
-        fits = fits & (F.col(f"x.{also}") != F.col(f"y.{also}"))
+    if apart:
+        same = F.aggregate(F.zip_with("x.sig", "y.sig", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
+        fits = fits & (F.col("x.root") != F.col("y.root")) & (500 * same >= 3 * percent * F.size("x.sig"))
     return x.join(y, (F.col("x.node") == F.col("y.node")) & fits).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
 
 
 def _grow(sets: DataFrame, scratch: Scratch, trees: int, depth: int, node: int) -> tuple[list[DataFrame], DataFrame]:
-    """Members (node, sid, n) of the small nodes of each level, and of the large nodes of the last."""
-    paths = F.array(*[F.struct(F.lit(t).alias("tree"), *[F.element_at("sig", t * depth + d + 1).alias(f"k{d}") for d in range(depth)]) for t in range(trees)])
-    rows = sets.select("sid", "n", F.explode(paths).alias("p")).select("sid", "n", F.xxhash64("p.tree", "p.k0").alias("node"), *[f"p.k{d}" for d in range(1, depth)])
-    small = []
+    """Members (node, sid, n) of the small nodes of each level, and of the large nodes of the last.
+
+    Rows of the first levels carry their tree's own minwise shingles; the few that branch on fetch the signature.
+    """
+    paths = F.array(*[F.struct(F.lit(t).cast("short").alias("tree"), *[F.element_at("sig", t * OWN + d + 1).alias(f"k{d}") for d in range(OWN)]) for t in range(trees)])
+    rows = sets.select("sid", "n", F.explode(paths).alias("p")).select("sid", "n", "p.tree", F.xxhash64("p.tree", "p.k0").alias("node"), *[f"p.k{d}" for d in range(1, OWN)])
+    small, large = [], rows
     for level in range(depth):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         rows = scratch.keep(rows.join(sizes, "node"), f"level{level}")
         small.append(rows.where(F.col("size") <= node).select("node", "sid", "n"))
-        rows = rows.where(F.col("size") > node)
-        if level + 1 < depth:
-            rows = rows.select("sid", "n", F.xxhash64("node", f"k{level + 1}").alias("node"), *[f"k{d}" for d in range(level + 2, depth)])
-    return small, rows.select("node", "sid", "n")
+        large = rows.where(F.col("size") > node).drop("size")
+        if level + 1 == depth or large.isEmpty():
+            break
+        if level + 1 < OWN:
+            key = F.col(f"k{level + 1}")
+            rows = large.withColumn("node", F.xxhash64("node", key)).drop(f"k{level + 1}")
+        else:
+            if level + 1 == OWN:
+                large = large.join(sets.select("sid", "sig"), "sid")
+            place = ((F.col("tree") + (level + 1) // OWN) % trees) * OWN + (level + 1) % OWN + 1
+            rows = large.withColumn("node", F.xxhash64("node", F.element_at("sig", place.cast("int"))))
+    return small, large.select("node", "sid", "n")
 
 
 def _confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -133,7 +151,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("th"), "text")
-    signed = scratch.keep(signatures(base, trees * depth, shingle), "signed")
+    signed = scratch.keep(signatures(base, trees * OWN, shingle), "signed")
     sets = scratch.keep(signed.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
     small, large = _grow(sets, scratch, trees, depth, node)
     pairs = _pairs(small[0], percent)
@@ -158,11 +176,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         ties = ties.unionByName(more)
         roots = scratch.keep(components(_joined_ties(roots, more), scratch, "second"), "roots1")
     # Large nodes: what lies in different components of one node.
-    placed = large.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    split = placed.groupBy("node").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("node")
-    cross = scratch.keep(_pairs(placed.join(split, "node", "left_semi"), percent, also="root").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "cross")
-    if not cross.isEmpty():
-        more = scratch.keep(_confirmed(_likely(cross, sets, percent), shingles, percent), "ties2")
+    placed = scratch.keep(large.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "placed")
+    shares = placed.groupBy("node", "root").agg(F.count(F.lit(1)).alias("held"))
+    mains = shares.groupBy("node").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    strays = scratch.keep(placed.join(mains.select("node", "main"), "node").where("root <> main"), "strays")
+    if not strays.isEmpty():
+        asked = strays.select("sid", F.col("main").alias("root")).distinct()
+        more = _against_components(asked, roots, shingles, percent)
+        cross = _pairs(strays.join(sets.select("sid", "sig"), "sid"), percent, apart=True).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        more = scratch.keep(more.unionByName(_confirmed(cross, shingles, percent)), "ties2")
         roots = scratch.keep(components(_joined_ties(roots, more), scratch, "third"), "roots2")
 
     rooted = signed.select("id", "th", "sid", "n").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -185,6 +207,42 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     return kept.withColumn("_nth", nth).where("_nth = 1 or bare").select(*docs.columns)
 
 
+def _against_components(asked: DataFrame, roots: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """Ties (a, b) of asked sets (sid, root) to any set of the component of that root: blocks of up to about ``BLOCK``
+    asked sets meet blocks of as many members, on full sets, and only ties come out."""
+    members = roots.select(F.col("node").alias("sid"), "root").join(asked.select("root").distinct(), "root", "left_semi")
+    alone = asked.select(F.col("root").alias("sid"), "root").distinct().join(members, "root", "left_anti")
+    members = members.unionByName(alone.select("sid", "root"))
+    blocks = lambda rows, name: rows.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    counts = blocks(members, "m").join(blocks(asked, "q"), "root")
+    own = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = members.join(counts, "root").select("root", "sid", own("m").alias("mb"), all_("q").alias("qb"), F.lit(False).alias("asks"))
+    right = asked.join(counts, "root").select("root", "sid", all_("m").alias("mb"), own("q").alias("qb"), F.lit(True).alias("asks"))
+    dealt = left.unionByName(right).join(shingles, "sid")
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        sids = table.column("sid").to_pylist()
+        lists = table.column("shingles").combine_chunks()
+        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        bounds = np.concatenate(([0], np.cumsum(size)))
+        flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        held = np.flatnonzero(~asks)
+        pool = np.concatenate([flat[bounds[i] : bounds[i + 1]] for i in held]) if len(held) else flat[:0]
+        owner = np.repeat(np.arange(len(held)), size[held])
+        out: list[tuple[bytes, bytes]] = []
+        for i in np.flatnonzero(asks):
+            mine = flat[bounds[i] : bounds[i + 1]]
+            at = np.minimum(np.searchsorted(mine, pool), len(mine) - 1)
+            both = np.bincount(owner[mine[at] == pool], minlength=len(held))
+            near = np.flatnonzero(100 * both >= percent * (size[held] + size[i] - both))
+            out += [(sids[i], sids[held[j]]) for j in near if sids[held[j]] != sids[i]]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+
+    return dealt.groupBy("root", "mb", "qb").applyInArrow(compare, "a binary, b binary")
+
+
 def _joined_ties(roots: DataFrame, ties: DataFrame) -> DataFrame:
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(ties.select("a", "b"))
 
@@ -194,10 +252,3 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     return pairs.join(ra, "a", "left").join(rb, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
 
-
-def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose minwise shingles agree in at least half of the share that the similarity predicts, over six deviations below it for 60 values."""
-    a = sets.select(F.col("sid").alias("a"), F.col("sig").alias("ga"))
-    b = sets.select(F.col("sid").alias("b"), F.col("sig").alias("gb"))
-    same = F.aggregate(F.zip_with("ga", "gb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return pairs.join(a, "a").join(b, "b").where(200 * same >= percent * F.size("ga")).select("a", "b")
