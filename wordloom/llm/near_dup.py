@@ -160,6 +160,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hubs = large.groupBy("node").agg(F.min_by("sid", F.xxhash64("sid", "node")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     spokes = large.join(hubs, "node").where("sid <> hub").select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b"))
     pairs = scratch.keep(pairs.unionByName(spokes).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs")
+    scratch.drop(*[f"level{i}" for i in range(len(small) - 1)])
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(large.select("sid")).distinct()
     places = signed.where("n > 0").groupBy("sid").agg(F.min(F.struct("id", "th")).alias("at")).join(wanted, "sid", "left_semi").select("sid", "at.id", "at.th")
     d, p = base.alias("d"), places.alias("p")
