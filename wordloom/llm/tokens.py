@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 #: End-of-document id appended to each document.
 END_ID = 1
 #: Stems in each of the two generations of the cache, about 200 bytes each.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 350_000
 #: Text bytes handled at once inside a task.
 SLICE_BYTES = 6 << 20
 
