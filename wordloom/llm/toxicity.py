@@ -290,13 +290,14 @@ def _evidence(toxic: int, docs: int, share: float) -> float:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """docs (id, text), labels (id, label); only rows that ``learned_from`` admits are looked at.
 
-    Labelled rows and rows without a label are sampled by a hash of the id, about ``sample_rows`` of
-    each at most: the one bound of the fit. What reaches the driver are word numbers of the sample.
+    Labels, and documents whose label is not looked at, are sampled by a hash of the id, about
+    ``sample_rows`` of each at most: the one bound of the fit. What reaches the driver are word numbers of the sample.
     """
     admitted = docs.where(learned_from(F.col("id")))
-    known = labels.where("label is not null").groupBy("id").agg(F.max("label").alias("label"))
-    labelled = _sample(admitted.join(known, "id"), sample_rows).select("id", "text", "label")
-    rest = _sample(admitted.join(known, "id", "left_anti"), sample_rows).select("id", "text", F.lit(None).cast("int").alias("label"))
+    known = labels.where(F.col("label").isNotNull() & learned_from(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
+    # The sample of labels is bounded, so it goes to the texts and no text is shuffled.
+    labelled = admitted.join(F.broadcast(_sample(known, sample_rows)), "id").select("id", "text", "label")
+    rest = _sample(admitted, sample_rows).select("id", "text", F.lit(None).cast("int").alias("label"))
     found = mined_words(labelled)
     lexicon = Lexicon.of(found.strong, found.features, found.refuted)
 
