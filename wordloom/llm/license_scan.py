@@ -12,7 +12,7 @@ from .native import ascii_lower
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright\b(?:[^\n]*(?:\(c\)|©|[0-9]{4}))|\(c\)|©|all rights reserved)[^\n]*$"
 #: Equivalent spellings, (pattern, one spelling), on lower-case words with single spaces.
 SPELLINGS: list[tuple[str, str]] = [
-    (r"\blicence(s|d)?\b", r"license"),
+    (r"licence(s|d)?\b", r"license"),
     (r"\bsub license\b", "sublicense"),
     (r"\bnon infringement\b", "noninfringement"),
     (r"\bnon commercial\b", "noncommercial"),

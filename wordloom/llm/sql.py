@@ -29,7 +29,7 @@ def _canonical(expr: str) -> str:
     out = f"regexp_replace(translate({expr}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?m)^[^a-z0-9\\n]*(?:copyright\\b(?:[^\\n]*(?:\\(c\\)|©|[0-9]{{4}}))|\\(c\\)|©|all rights reserved)[^\\n]*$', ' ', 'g')"
     out = f"regexp_replace({out}, '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g')"
     for a, b in (
-        (r"\blicence(s|d)?\b", r"license\1"),
+        (r"licence(s|d)?\b", r"license\1"),
         (r"\bsub license\b", "sublicense"),
         (r"\bnon infringement\b", "noninfringement"),
         (r"\bnon commercial\b", "noncommercial"),
