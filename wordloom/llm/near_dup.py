@@ -4,15 +4,18 @@ Each of ``TREES`` independent trees branches the distinct shingle sets by one mi
 node of at most ``NODE`` sets is compared exhaustively; a larger one branches again, down to ``DEPTH``
 levels. Two sets of similarity s share a branch with probability s, so at 0.75 a pair is missed by all
 trees with probability 0.25**20 where nodes stay small, and (1 - 0.75**3)**20, 2e-5, where all branch
-three times. Crowds that share a passage but little else part in a few levels; what is still together
-after the last is mostly alike. Each set there is tied to one of its node first; then sets outside the
-main component of such a node are compared with all of that component, in blocks, and with each other,
-so that no tie is lost to the size of a node. All ties are confirmed on the full sets.
+three times. Crowds that share a passage but little else part in a few levels. Large nodes of ``OWN``
+and more levels hold sets that may be mostly alike, of which a pair would seldom reach a small node:
+each set there is tied to one of its node first; then sets that in ``MET`` trees met a component, the
+main one of a large node, and are not in it, are compared with all of that component, in blocks. A set
+and its tie in a component meet in at least two of twenty trees but for 3e-4 of the cases. All ties are
+confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,8 @@ TREES, DEPTH, NODE = 20, 8, 16
 OWN = 3
 #: Sets on each side of a block of comparisons with a component.
 BLOCK = 256
+#: Trees in which a set shares a large node with a component before it is compared with all of it.
+MET = 2
 SLICE = 6 << 20
 
 
@@ -89,30 +94,29 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(read, kind)
 
 
-def _pairs(members: DataFrame, percent: int, apart: bool = False) -> DataFrame:
-    """(a, b) with a < b of the sets that share a node, if their sizes allow the similarity; with ``apart`` only those of
-    different roots whose signatures allow it too: for 60 values, over five deviations below what it predicts."""
+def _pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) with a < b of the sets that share a node, if their sizes allow the similarity."""
     x, y = members.alias("x"), members.alias("y")
     fits = (F.col("x.sid") < F.col("y.sid")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    if apart:
-        same = F.aggregate(F.zip_with("x.sig", "y.sig", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
-        fits = fits & (F.col("x.root") != F.col("y.root")) & (500 * same >= 3 * percent * F.size("x.sig"))
     return x.join(y, (F.col("x.node") == F.col("y.node")) & fits).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
 
 
-def _grow(sets: DataFrame, scratch: Scratch, trees: int, depth: int, node: int) -> tuple[list[DataFrame], DataFrame]:
-    """Members (node, sid, n) of the small nodes of each level, and of the large nodes of the last.
+def _grow(sets: DataFrame, scratch: Scratch, trees: int, depth: int, node: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Members (node, sid, n) of the small nodes of each level; members (tree, node, sid, n) of the large nodes of each
+    level from ``OWN`` shared shingles on.
 
     Rows of the first levels carry their tree's own minwise shingles; the few that branch on fetch the signature.
     """
     paths = F.array(*[F.struct(F.lit(t).cast("short").alias("tree"), *[F.element_at("sig", t * OWN + d + 1).alias(f"k{d}") for d in range(OWN)]) for t in range(trees)])
     rows = sets.select("sid", "n", F.explode(paths).alias("p")).select("sid", "n", "p.tree", F.xxhash64("p.tree", "p.k0").alias("node"), *[f"p.k{d}" for d in range(1, OWN)])
-    small, large = [], rows
+    small, crowds = [], []
     for level in range(depth):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         rows = scratch.keep(rows.join(sizes, "node"), f"level{level}")
         small.append(rows.where(F.col("size") <= node).select("node", "sid", "n"))
         large = rows.where(F.col("size") > node).drop("size")
+        if level + 1 >= OWN:
+            crowds.append(large.select("tree", "node", "sid", "n"))
         if level + 1 == depth or large.isEmpty():
             break
         if level + 1 < OWN:
@@ -123,7 +127,7 @@ def _grow(sets: DataFrame, scratch: Scratch, trees: int, depth: int, node: int)
                 large = large.join(sets.select("sid", "sig"), "sid")
             place = ((F.col("tree") + (level + 1) // OWN) % trees) * OWN + (level + 1) % OWN + 1
             rows = large.withColumn("node", F.xxhash64("node", F.element_at("sig", place.cast("int"))))
-    return small, large.select("node", "sid", "n")
+    return small, crowds
 
 
 def _confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -153,15 +157,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("th"), "text")
     signed = scratch.keep(signatures(base, trees * OWN, shingle), "signed")
     sets = scratch.keep(signed.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
-    small, large = _grow(sets, scratch, trees, depth, node)
+    small, crowds = _grow(sets, scratch, trees, depth, node)
+    crowd = reduce(DataFrame.unionByName, crowds) if crowds else sets.select(F.lit(0).cast("short").alias("tree"), F.lit(0).cast("long").alias("node"), "sid", "n").where("false")
+    crowd = scratch.keep(crowd, "crowd")
     pairs = _pairs(small[0], percent)
     for level in small[1:]:
         pairs = pairs.unionByName(_pairs(level, percent))
-    hubs = large.groupBy("node").agg(F.min_by("sid", F.xxhash64("sid", "node")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    spokes = large.join(hubs, "node").where("sid <> hub").select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b"))
+    hubs = crowd.groupBy("node").agg(F.min_by("sid", F.xxhash64("sid", "node")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    spokes = crowd.join(hubs, "node").where("sid <> hub").select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b"))
     pairs = scratch.keep(pairs.unionByName(spokes).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs")
-    scratch.drop(*[f"level{i}" for i in range(len(small) - 1)])
-    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(large.select("sid")).distinct()
+    scratch.drop(*[f"level{i}" for i in range(len(small))])
+    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(crowd.select("sid")).distinct()
     places = signed.where("n > 0").groupBy("sid").agg(F.min(F.struct("id", "th")).alias("at")).join(wanted, "sid", "left_semi").select("sid", "at.id", "at.th")
     d, p = base.alias("d"), places.alias("p")
     texts = d.join(p, F.col("d.id").eqNullSafe(F.col("p.id")) & (F.col("d.th") == F.col("p.th"))).select("p.sid", "d.text")
@@ -177,15 +183,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         ties = ties.unionByName(more)
         roots = scratch.keep(components(_joined_ties(roots, more), scratch, "second"), "roots1")
     # Large nodes: what lies in different components of one node.
-    placed = scratch.keep(large.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "placed")
+    placed = scratch.keep(crowd.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "placed")
     shares = placed.groupBy("node", "root").agg(F.count(F.lit(1)).alias("held"))
     mains = shares.groupBy("node").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    strays = scratch.keep(placed.join(mains.select("node", "main"), "node").where("root <> main"), "strays")
-    if not strays.isEmpty():
-        asked = strays.select("sid", F.col("main").alias("root")).distinct()
-        more = _against_components(asked, roots, shingles, percent)
-        cross = _pairs(strays.join(sets.select("sid", "sig"), "sid"), percent, apart=True).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        more = scratch.keep(more.unionByName(_confirmed(cross, shingles, percent)), "ties2")
+    strays = placed.join(mains.select("node", "main"), "node").where("root <> main")
+    asked = strays.groupBy("sid", F.col("main").alias("root")).agg(F.count_distinct("tree").alias("trees")).where(F.col("trees") >= MET).select("sid", "root")
+    asked = scratch.keep(asked, "asked")
+    if not asked.isEmpty():
+        more = scratch.keep(_against_components(asked, roots, shingles, percent), "ties2")
         roots = scratch.keep(components(_joined_ties(roots, more), scratch, "third"), "roots2")
 
     rooted = signed.select("id", "th", "sid", "n").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
