@@ -33,7 +33,7 @@ def test_cleaning(spark):
     assert [r[0] for r in values(spark, listed(["[DATE]x.[/DATE]. , ..", "a b\x1cc"]), X.normalize_text(F.col("t")))] == ["x. .", "a b c"]
     assert [r[0] for r in values(spark, listed(["[DATE]x.[/DATE] # * y,"]), X.normalize_entity(F.col("t")))] == ["x. y,"]
     assert [r[0] for r in values(spark, listed(["[DATE]X[/DATE]. Y"]), X.lower_keeping_tags(F.col("t")))] == ["[DATE]x[/DATE]. y"]
-    assert [r[0] for r in values(spark, listed(["].x", "a.b c,d"]), X.clean_mark_mistakes(F.col("t")))] == ["]. x", "a b c, d"]
+    assert [r[0] for r in values(spark, listed(["].x", "a.b c,d"]), X.clean_mark_mistakes(F.col("t")))] == ["]. x", "a b c d"]
 
 
 @pytest.mark.parametrize(("text", "want"), [
