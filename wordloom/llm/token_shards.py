@@ -34,6 +34,8 @@ SHARD_HEAD = 16
 #: Keys in an index bucket on average; a bucket is built and read by one task.
 BUCKET_KEYS = 200_000
 LEVELS = 24
+#: Beside a shuffle's buffers the word cache is kept smaller, and texts are taken in smaller slices.
+CACHE_WORDS, SLICE = 150_000, 4 << 20
 READ_BYTES = 8 << 20
 
 
@@ -181,13 +183,13 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, *, id_col: str = "d
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encoder, rows = WordEncoder.of(tokenizer), []
+        encoder, rows = WordEncoder.of(tokenizer, CACHE_WORDS), []
 
         def payload() -> Iterator[bytes]:
             yield SHARD_MAGIC + np.uint64(id_bytes).astype("<u8").tobytes()
             at, last, copy = 0, object(), 0
             for batch in chain([first], batches):
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", SLICE):
                     bounds, ids = encoder.encode(part.column("text"), end_id)
                     if id_bytes == 2 and len(ids) and int(ids.max()) > 0xFFFF:
                         raise OverflowError("an id needs more than 2 bytes")

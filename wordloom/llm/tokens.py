@@ -61,7 +61,8 @@ class WordEncoder:
     that against whole-text encoding.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        self.cache_words = cache_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -70,9 +71,11 @@ class WordEncoder:
         self.old: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> WordEncoder:
+    def of(cls, path: str, cache_words: int = CACHE_WORDS) -> WordEncoder:
+        """The process's encoder of that file."""
         if path not in _ENCODERS:
             _ENCODERS[path] = cls(path)
+        _ENCODERS[path].cache_words = cache_words
         return _ENCODERS[path]
 
     def _ids(self, stems: list[str]) -> list[bytes]:
@@ -91,7 +94,7 @@ class WordEncoder:
             raw = np.fromiter(chain.from_iterable(found), "<u4", ends[-1] // 4).tobytes()
             young.update((w, raw[e - 4 * len(x) : e]) for w, x, e in zip(part, found, ends))
         out = [young[w] for w in stems]
-        if len(young) > CACHE_WORDS:
+        if len(young) > self.cache_words:
             self.old, self.young = young, {}
         return out
 
