@@ -88,6 +88,19 @@ def test_near_duplicate_stage(spark):
     assert kept.count() == len(groups) + bare
 
 
+def test_near_duplicates_in_a_crowd_below_the_threshold(spark):
+    rng = random.Random(12)
+    shared, rows = words(rng, 104), []
+    for i in range(700):  # 100 shared shingles and 19 of each: 0.725 to each other
+        rows.append((i, " ".join(shared + [f"t{i}_{k}" for k in range(19)])))
+    for i in range(0, 200, 2):  # 102 of 136 to 104 of 134 between the two of a pair
+        rows[i + 1] = (i + 1, " ".join(shared + [f"t{i}_{k}" for k in range(2 + i % 3)] + [f"t{i + 1}_{k}" for k in range(17 - i % 3)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    assert got == {i: c for (i, _), (_, c) in zip(rows, plain.near_components(rows))}
+    assert len(set(got.values())) == 600
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(50)] + [(7, 7), (3, 2), (500, 501)]

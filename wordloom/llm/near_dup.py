@@ -3,13 +3,14 @@
 Each of ``TREES`` independent trees branches the distinct shingle sets by one minwise shingle a level. A
 node of at most ``NODE`` sets is compared exhaustively; a larger one branches again, down to ``DEPTH``
 levels. Two sets of similarity s share a branch with probability s, so at 0.75 a pair is missed by all
-trees with probability 0.25**20 where nodes stay small, and (1 - 0.75**3)**20, 2e-5, where all branch
-three times. Crowds that share a passage but little else part in a few levels. Large nodes of ``OWN``
-and more levels hold sets that may be mostly alike, of which a pair would seldom reach a small node:
-each set there is tied to one of its node first; then sets that in ``MET`` trees met a component, the
-main one of a large node, and are not in it, are compared with all of that component, in blocks. A set
-and its tie in a component meet in at least two of twenty trees but for 3e-4 of the cases. All ties are
-confirmed on the full sets.
+trees with probability 0.25**20 where nodes stay small. Crowds that share a passage but little else part
+in a few levels. Nodes that are large at level ``OWN`` are not left to deeper levels, where a pair of a
+crowd just below 0.75 seldom stays together: each set there is tied to one of its node first; then sets
+that met a component, the main one of a large node, and are not in it, are compared with all of that
+component; then what lies outside the main component of such a node is compared with each other, all in
+blocks and as far as components differ. So a pair at 0.75 is missed with probability (1 - 0.75**3)**20,
+2e-5, in any crowd whose nodes are large at that level, and in none with more. All ties are confirmed on
+the full sets.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ TREES, DEPTH, NODE = 20, 8, 16
 OWN = 3
 #: Sets on each side of a block of comparisons with a component.
 BLOCK = 256
-#: Trees in which a set shares a large node with a component before it is compared with all of it.
-MET = 2
+#: Shingles of a block that are counted at a time.
+COLUMNS = 4096
 SLICE = 6 << 20
 
 
@@ -102,8 +103,8 @@ def _pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _grow(sets: DataFrame, scratch: Scratch, trees: int, depth: int, node: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Members (node, sid, n) of the small nodes of each level; members (tree, node, sid, n) of the large nodes of each
-    level from ``OWN`` shared shingles on.
+    """Members (node, sid, n) of the small nodes of each level; members (node, sid, first) of the large nodes of each
+    level from ``OWN`` shared shingles on, first for those of just ``OWN``.
 
     Rows of the first levels carry their tree's own minwise shingles; the few that branch on fetch the signature.
     """
@@ -116,7 +117,7 @@ def _grow(sets: DataFrame, scratch: Scratch, trees: int, depth: int, node: int)
         small.append(rows.where(F.col("size") <= node).select("node", "sid", "n"))
         large = rows.where(F.col("size") > node).drop("size")
         if level + 1 >= OWN:
-            crowds.append(large.select("tree", "node", "sid", "n"))
+            crowds.append(large.select("node", "sid", F.lit(level + 1 == OWN).alias("first")))
         if level + 1 == depth or large.isEmpty():
             break
         if level + 1 < OWN:
@@ -158,7 +159,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signed = scratch.keep(signatures(base, trees * OWN, shingle), "signed")
     sets = scratch.keep(signed.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
     small, crowds = _grow(sets, scratch, trees, depth, node)
-    crowd = reduce(DataFrame.unionByName, crowds) if crowds else sets.select(F.lit(0).cast("short").alias("tree"), F.lit(0).cast("long").alias("node"), "sid", "n").where("false")
+    crowd = reduce(DataFrame.unionByName, crowds) if crowds else sets.select(F.lit(0).cast("long").alias("node"), "sid", F.lit(False).alias("first")).where("false")
     crowd = scratch.keep(crowd, "crowd")
     pairs = _pairs(small[0], percent)
     for level in small[1:]:
@@ -186,12 +187,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = scratch.keep(crowd.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "placed")
     shares = placed.groupBy("node", "root").agg(F.count(F.lit(1)).alias("held"))
     mains = shares.groupBy("node").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    strays = placed.join(mains.select("node", "main"), "node").where("root <> main")
-    asked = strays.groupBy("sid", F.col("main").alias("root")).agg(F.count_distinct("tree").alias("trees")).where(F.col("trees") >= MET).select("sid", "root")
+    strays = scratch.keep(placed.join(mains.select("node", "main"), "node").where("root <> main"), "strays")
+    asked = strays.select("sid", F.col("main").alias("root")).distinct()
     asked = scratch.keep(asked, "asked")
     if not asked.isEmpty():
         more = scratch.keep(_against_components(asked, roots, shingles, percent), "ties2")
         roots = scratch.keep(components(_joined_ties(roots, more), scratch, "third"), "roots2")
+        # And what lies outside of the main components, with each other; nodes of deeper levels are parts of these.
+        rest = strays.where("first").select("node", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        more = scratch.keep(_among_strays(rest, shingles, percent), "ties3")
+        if not more.isEmpty():
+            roots = scratch.keep(components(_joined_ties(roots, more), scratch, "fourth"), "roots3")
 
     rooted = signed.select("id", "th", "sid", "n").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     order = F.struct(F.col("id").isNull().alias("last"), "id", "th")
@@ -229,26 +235,71 @@ def _against_components(asked: DataFrame, roots: DataFrame, shingles: DataFrame,
 
     def compare(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False)
-        sids = table.column("sid").to_pylist()
-        lists = table.column("shingles").combine_chunks()
-        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        bounds = np.concatenate(([0], np.cumsum(size)))
-        flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        held = np.flatnonzero(~asks)
-        pool = np.concatenate([flat[bounds[i] : bounds[i + 1]] for i in held]) if len(held) else flat[:0]
-        owner = np.repeat(np.arange(len(held)), size[held])
-        out: list[tuple[bytes, bytes]] = []
-        for i in np.flatnonzero(asks):
-            mine = flat[bounds[i] : bounds[i + 1]]
-            at = np.minimum(np.searchsorted(mine, pool), len(mine) - 1)
-            both = np.bincount(owner[mine[at] == pool], minlength=len(held))
-            near = np.flatnonzero(100 * both >= percent * (size[held] + size[i] - both))
-            out += [(sids[i], sids[held[j]]) for j in near if sids[held[j]] != sids[i]]
-        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+        return _block_ties(table, np.flatnonzero(asks), np.flatnonzero(~asks), percent)
 
     return dealt.groupBy("root", "mb", "qb").applyInArrow(compare, "a binary, b binary")
 
 
+def _among_strays(strays: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """Ties (a, b) between the sets (node, sid, root) of a node that have different roots: all blocks of a node meet each
+    other, on full sets, and a row goes once to each pair of blocks."""
+    nodes = strays.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("q"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    own = strays.join(nodes.select("node", "q"), "node").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("q")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    dealt = met.select("node", "sid", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(shingles, "sid")
+
+    def compare(table: pa.Table) -> pa.Table:
+        i, j, block = (table.column(c).to_numpy() for c in ("i", "j", "own"))
+        return _block_ties(table, np.flatnonzero(block == i), np.flatnonzero(block == j), percent)
+
+    return dealt.groupBy("node", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+
+def _block_ties(table: pa.Table, left: np.ndarray, right: np.ndarray, percent: int) -> pa.Table:
+    """Ties (a, b) between rows left and right of (sid, shingles), of different root where table has roots of each;
+    ties that follow from others of the block are left out."""
+    sids = table.column("sid").to_pylist()
+    roots = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy() if "own" in table.column_names else np.arange(len(sids))
+    lists = table.column("shingles").combine_chunks()
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    _, kind = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    row = np.repeat(np.arange(len(sids)), size)
+    seat = np.full((2, len(sids)), -1)
+    seat[0, left], seat[1, right] = np.arange(len(left)), np.arange(len(right))
+    inside = [seat[side][row] >= 0 for side in (0, 1)]
+    kinds = int(kind.max()) + 1 if len(kind) else 0
+    common = np.flatnonzero((np.bincount(kind[inside[0]], minlength=kinds) > 0) & (np.bincount(kind[inside[1]], minlength=kinds) > 0))
+    place = np.full(kinds, -1)
+    place[common] = np.arange(len(common))
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(common), COLUMNS):
+        held = []
+        for side, rows in enumerate((left, right)):
+            here = inside[side] & (place[kind] >= at) & (place[kind] < at + COLUMNS)
+            marks = np.zeros((len(rows), COLUMNS), np.float32)
+            marks[seat[side][row[here]], place[kind[here]] - at] = 1
+            held.append(marks)
+        both += held[0] @ held[1].T
+    union = size[left][:, None] + size[right][None, :] - both
+    near = (100 * both.astype(np.int64) >= percent * union.astype(np.int64)) & (roots[left][:, None] != roots[right][None, :])
+    parent = list(range(len(sids)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out: list[tuple[bytes, bytes]] = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+        x, y = top(int(left[i])), top(int(right[j]))
+        if x != y:
+            parent[x] = y
+            if sids[left[i]] != sids[right[j]]:
+                out.append((sids[left[i]], sids[right[j]]))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+
+
 def _joined_ties(roots: DataFrame, ties: DataFrame) -> DataFrame:
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(ties.select("a", "b"))
 
