@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.llm.language_id import ORDER, KneserNey, _ngrams, identify_language
+from wordloom.llm.language_id import ORDER, KneserNey, _ngrams, fit_languages, identify_language
 from wordloom.llm.toxicity import CLEAN, SILENT, TOXIC, LabelModel, drop_toxic, learned_from, score_toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -71,6 +71,19 @@ def test_languages(spark):
     assert {r.lang_pred for r in identify_language(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_models_hold_every_ngram(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (60_000, 6))]
+    rows = [(i, "aa", " ".join(words[i::60])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, lang string, text string")
+    learned = [t for (t,) in docs.where(learned_from(F.col("id"))).select("text").collect()]
+    grams, counts = np.unique(_ngrams(" ".join(learned).split())[1], return_counts=True)
+    assert len(grams) > 130_000
+    want, got = KneserNey.fit(grams, counts), fit_languages(docs).models[0]
+    for name in ("grams", "shares", "contexts", "lefts"):
+        assert all(np.array_equal(x, y) for x, y in zip(getattr(want, name), getattr(got, name), strict=True))
+
+
 def test_kneser_ney_sums_to_one():
     _, codes = _ngrams(["abab", "abba", "baab", "cab"])
     grams, counts = np.unique(codes, return_counts=True)

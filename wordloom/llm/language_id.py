@@ -23,8 +23,6 @@ from .toxicity import learned_from
 ORDER = 5
 #: Characters are code points modulo 4096, so five fit one integer; 0 pads before a word, 1 ends it.
 BITS = 12
-#: n-grams of the highest order kept for a language, the most frequent ones.
-MAX_NGRAMS = 120_000
 #: Texts that calibrate rejection, about so many at most.
 CALIBRATION_ROWS = 20_000
 #: Letters beyond which a text counts as no surer.
@@ -190,26 +188,16 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
-def fit_languages(docs: DataFrame, *, max_ngrams: int = MAX_NGRAMS, calibration_rows: int = CALIBRATION_ROWS, accept: float = 0.999) -> LanguageModel:
+def fit_languages(docs: DataFrame, *, calibration_rows: int = CALIBRATION_ROWS, accept: float = 0.999) -> LanguageModel:
     """docs (id, lang, text). Counts cover every row that ``learned_from`` admits and whose lang is not null; the
     rejection limits, one quantile per language, come from about ``calibration_rows`` of them."""
     training = docs.where(learned_from(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = count_ngrams(training).persist()
-    sizes = counts.groupBy("lang").agg(F.count(F.lit(1)).alias("grams")).collect()
-    least = {r["lang"]: 1 for r in sizes if r["grams"] <= max_ngrams}
-    for r in sizes:
-        if r["lang"] not in least:
-            least[r["lang"]] = int(counts.where(F.col("lang") == r["lang"]).agg(F.percentile_approx("n", 1 - max_ngrams / r["grams"])).first()[0]) + 1
-    wanted = F.lit(False)
-    for lang, n in least.items():
-        wanted = wanted | ((F.col("lang") == lang) & (F.col("n") >= n))
-    table = counts.where(wanted).toArrow()
-    counts.unpersist()
-    lang, gram, n = (table.column(c).combine_chunks() for c in ("lang", "gram", "n"))
-    model = LanguageModel(sorted(least), [])
+    model = LanguageModel(sorted(r["lang"] for r in counts.select("lang").distinct().collect()), [])
     for name in model.langs:
-        own = pc.equal(lang, name)
-        model.models.append(KneserNey.fit(gram.filter(own).to_numpy(), n.filter(own).to_numpy()))
+        table = counts.where(F.col("lang") == name).select("gram", "n").toArrow()
+        model.models.append(KneserNey.fit(table.column("gram").to_numpy(), table.column("n").to_numpy()))
+    counts.unpersist()
     if not model.models:
         return model
     rows = training.count()
@@ -227,7 +215,7 @@ def fit_languages(docs: DataFrame, *, max_ngrams: int = MAX_NGRAMS, calibration_
     return model
 
 
-def identify_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_ngrams: int = MAX_NGRAMS) -> DataFrame:
+def identify_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Predict the language of every whole text: (id, held_out, lang_pred, score, accepted, cross_entropy).
 
     score, 0 to 1, is the share of the best language if the cross-entropies are taken as evidence of up to
@@ -237,10 +225,11 @@ def identify_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows come out once each; ties go to the first language by name; other columns are not read.
 
     Counting is one scan with partial sums per task, then an exchange of n-grams; scoring is a scan.
-    The models that go to the executors have ``max_ngrams`` entries per language and order at most.
+    The models hold every n-gram of the training texts; the driver fits them one language at a time, and
+    they go to the executors whole, so both need memory for the distinct n-grams, not for the texts.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    model = fit_languages(base, max_ngrams=max_ngrams)
+    model = fit_languages(base)
     kind = T.StructType([base.schema["id"], T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType()), T.StructField("cross_entropy", T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
