@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import plain
-from wordloom.llm.license_scan import KNOWN_TEXTS, license_scan
+from wordloom.llm.license_scan import KNOWN_TEXTS, canonical, canonical_lines, digest, license_scan
 from wordloom.llm.line_frequency import LineRules, line_frequency
 from wordloom.llm.url_cascade import BloomCascade, judge_urls
 
@@ -20,6 +20,22 @@ def test_licenses(spark):
     assert license_scan(docs.where("false")).count() == 0
 
 
+def test_notices_of_any_words(spark):
+    bsd = next(body for name, body in KNOWN_TEXTS if name == "BSD-2-Clause" and "license" not in body.lower())
+    rows = [(1, "x = 1\n/*! " + " ".join(bsd.split()) + " */\ny = 2"), (2, "a\n-- Use it as you like! --\n\n-- --\nb"), (3, "use it as you like, all of you")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.notice_ids for r in license_scan(docs).collect()} == {1: ["BSD-2-Clause"], 2: [], 3: []}
+    own = spark.createDataFrame([("Use it as you like",)], "body string").select(digest(F.col("body")).alias("digest"), F.lit("own").alias("license_id"))
+    assert {r.doc_id: r.notice_ids for r in license_scan(docs, own).collect()} == {1: [], 2: ["own"], 3: []}
+
+
+def test_lines_of_one_pass_equal_single_lines(spark):
+    text = "Sub\nLicence, sub  licence\r\n(c) 2020 me\r\n * Copyright 2020 you\nhttps\n://x\n\n  \nnon\tcommercial\u2028favour \r\u00a9 they\nAll rights reserved\nend per cent"
+    got = spark.createDataFrame([(text,)], "text string").select(canonical_lines(F.col("text"))).first()[0]
+    one = spark.createDataFrame([(x,) for x in text.split("\n")], "text string").select(canonical(F.col("text"))).collect()
+    assert sorted(got) == sorted({x for (x,) in one} - {""})
+
+
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 URLS = [None, "", "no scheme", "http://a.net", "http://a.net/", "HTTP://WWW.A.NET/x?y#z", "https://www.example.net/en/1", "https://badexample.net/en/", "http://example.com/de/?q", "http://example.com/de", "x://b.org/fr/a://c/d", "http://org/fr/", "http://h?/net/", "http://a.net//", "http://é.net/ü", "http://a.net/" + "p/" * 20_000]
 

@@ -25,11 +25,21 @@ SPELLINGS: list[tuple[str, str]] = [
 
 def canonical(text: Column) -> Column:
     """Lower-case A-Z, drop copyright lines, turn all but ASCII letters, digits and non-ASCII characters into single spaces, unify spellings."""
+    return F.trim(_spelled(text, r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"))
+
+
+def canonical_lines(text: Column) -> Column:
+    """The distinct ``canonical`` forms of the lines of a text, without empty ones, made in one pass over the text."""
+    lines = F.split(_spelled(text, r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+"), "\n", -1)
+    return F.filter(F.array_distinct(F.transform(lines, lambda x: F.trim(x))), lambda x: x != "")
+
+
+def _spelled(text: Column, gaps: str) -> Column:
     out = F.regexp_replace(ascii_lower(text), COPYRIGHT_LINE, " ")
-    out = F.regexp_replace(out, r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ")
+    out = F.regexp_replace(out, gaps, " ")
     for pattern, spelling in SPELLINGS:
         out = F.regexp_replace(out, pattern, spelling.replace("license", "license$1") if "(" in pattern else spelling)
-    return F.trim(out)
+    return out
 
 
 def digest(text: Column) -> Column:
@@ -52,8 +62,8 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, *, id_col: str
     and repeated rows pass through, one row out per row in; extra columns are not read.
 
     ``known`` has (digest, license_id) of any length; Spark broadcasts it only where its size is
-    below the session's threshold, else both sides are shuffled on the digest. Only lines that name a
-    license, a permission or an SPDX tag are looked up; every known notice of one line has such a word.
+    below the session's threshold, else both sides are shuffled on the digest. Every line that has more than
+    separators is looked up.
     """
     spark = docs.sparkSession
     known = known_digests(spark) if known is None else known.select("digest", "license_id")
@@ -62,8 +72,7 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, *, id_col: str
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     digests = base.select("id", F.xxhash64("text").alias("th"), digest(F.col("text")).alias("digest"))
     whole = digests.join(known, "digest", "left")
-    named = F.filter(F.split("text", "\n", -1), lambda x: F.lower(x).rlike("licen[cs]e|permission|spdx"))
-    lines = base.select("id", F.xxhash64("text").alias("th"), F.explode(F.array_distinct(named)).alias("line"))
-    found = lines.select("id", "th", digest(F.col("line")).alias("digest")).join(known, "digest").groupBy("id", "th").agg(F.array_sort(F.collect_set("license_id")).alias("notice_ids"))
+    lines = base.select("id", F.xxhash64("text").alias("th"), F.explode(canonical_lines(F.col("text"))).alias("line"))
+    found = lines.select("id", "th", F.sha2(F.col("line").cast("binary"), 256).alias("digest")).join(known, "digest").groupBy("id", "th").agg(F.array_sort(F.collect_set("license_id")).alias("notice_ids"))
     w, f = whole.alias("w"), found.alias("f")
     return w.join(f, F.col("w.id").eqNullSafe(F.col("f.id")) & (F.col("w.th") == F.col("f.th")), "left").select(F.col("w.id").alias(id_col), F.col("w.digest").alias("digest"), F.col("w.license_id").alias("license_id"), F.coalesce("f.notice_ids", F.array().cast("array<string>")).alias("notice_ids"))
