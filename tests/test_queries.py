@@ -18,6 +18,12 @@ def test_query_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_tag_repair_takes_every_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where(r"text rlike '\\S'")
+    assert docs.where("lang is null or lang <> 'en'").count() > 0
+    assert QUERIES["tag_repair"](spark, SF).count() == docs.count()
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -48,6 +48,10 @@ def english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc"), "text")
 
 
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """(doc, pos, tok), pos from 0."""
     return docs.select("doc", F.posexplode(X.split_tokens(F.col("text"))).alias("pos", "tok"))
@@ -162,7 +166,7 @@ def lowered_text(spark, sf_dir):
 @query()
 def tag_repair(spark, sf_dir):
     """Unpaired tags of damaged transcripts taken away; tests hold it against goldens and a second implementation."""
-    rows = angle_tagged(tokens(english(spark, sf_dir)))
+    rows = angle_tagged(tokens(transcripts(spark, sf_dir)))
     return rows.select("doc", S.repair_tags(X.correct_tags(F.col("text"))).alias("repaired"))
 
 
