@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -67,7 +68,7 @@ def scratch_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "wordloom-scratch")
     return root.rstrip("/")
@@ -92,8 +93,20 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(self.path(name))
+
+    def close(self) -> None:
+        """Remove the whole folder: for runs whose result has been written elsewhere."""
+        self._delete(self.root)
+
+    def result(self, df: DataFrame, name: str = "result") -> DataFrame:
+        """Write what a run returns and remove all its other tables."""
+        out = Scratch(self.spark, name)
+        kept = out.keep(df, "rows")
+        self.close()
+        return kept
+
+    def _delete(self, where: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
