@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import encode as E
 from wordloom.functions import sequence as S
 from wordloom.functions import text as X
+from wordloom.operators import tags
 
 
 def values(spark, rows, *columns):
@@ -46,8 +47,9 @@ def test_cleaning(spark):
     ("x [DATE]a", "x a"),
     ("[DATE]a[/TIME], b[/DATE]", "a, b[/DATE]"),
 ])
-def test_tag_repair(text, want):
-    assert S.repair_tags_of(text) == want
+def test_tag_repair(spark, text, want):
+    docs = spark.createDataFrame([("d", text), ("null", None), ("none", " ")], "doc string, text string")
+    assert {r.doc: r.text for r in tags.repair_tags(docs).collect()} == {"d": want, "null": None, "none": ""}
 
 
 def distance(a, b):
@@ -83,17 +85,28 @@ def test_jaro_winkler():
     assert round(S.jaro_winkler_of("DIXON", "DICKSONX"), 4) == 0.8133
 
 
-def test_bio_and_pairs():
-    assert S.bio_of(["[DATE]May", "5[/DATE],", "x", "#"]) == ["B-DATE", "I-DATE", "O", "O"]
-    assert S.bio_of(["[DATE]May", "*", "5[/DATE]"]) == ["B-DATE", "O", "B-DATE"]
-    assert S.bio_of(["[DATE]May", "[TIME]x", "y"]) == ["B-DATE", "I-DATE", "I-DATE"]
-    assert S.bio_of(["[DATE]", "x"]) == ["B-DATE"]
+def bio_of(spark, *docs):
+    rows = [(d, i, t) for d, tokens in enumerate(docs) for i, t in enumerate(tokens)]
+    out = [[] for _ in docs]
+    for r in tags.bio_labels(spark.createDataFrame(rows, "doc int, pos int, tok string")).orderBy("doc", "pos").collect():
+        assert r.pos == len(out[r.doc])
+        out[r.doc].append(r.bio)
+    return out
+
+
+def test_bio(spark):
+    assert bio_of(spark, ["[DATE]May", "5[/DATE],", "x", "#"], ["[DATE]May", "*", "5[/DATE]"], ["[DATE]May", "[TIME]x", "y"], ["[DATE]", "x"], ["a", "=", "[/DATE]", "[LOC]b[/LOC]", "[LOC]c"]) == [
+        ["B-DATE", "I-DATE", "O", "O"], ["B-DATE", "O", "B-DATE"], ["B-DATE", "I-DATE", "I-DATE"], ["B-DATE"], ["O", "O", "B-LOC", "B-LOC"],
+    ]
+
+
+def test_entity_texts(spark):
     ref, rb = "I spent $100.000 . Bryan Adams".split(), ["O", "O", "B-MONEY", "O", "B-PERSON", "I-PERSON"]
     hyp = "I spent $100000 . Bryan Adams".split()
-    assert S.pair_entities_of([*ref, "="], [*hyp, "Getty"], [*rb, "O"], [*rb, "I-PERSON"]) == [("$100.000", "$100000", "MONEY"), ("Bryan Adams", "Bryan Adams Getty", "PERSON")]
-    assert S.pair_entities_of(ref, hyp, rb, rb)[1] == ("Bryan Adams", "Bryan Adams", "PERSON")
-    assert S.pair_entities_of(ref, [*hyp[:5], "*"], rb, [*rb[:5], "O"])[1] == ("Bryan Adams", "Bryan", "PERSON")
-    assert S.pair_entities_of(ref, [*hyp[:4], "*", "*"], rb, [*rb[:4], "O", "O"])[1] == ("Bryan Adams", "", "PERSON")
+    cases = [([*ref, "="], [*hyp, "Getty"], [*rb, "O"], [*rb, "I-PERSON"]), (ref, hyp, rb, rb), (ref, [*hyp[:5], "*"], rb, [*rb[:5], "O"]), (ref, [*hyp[:4], "*", "*"], rb, [*rb[:4], "O", "O"])]
+    rows = [(d, i, *x) for d, case in enumerate(cases) for i, x in enumerate(zip(*case))]
+    found = tags.entity_texts(spark.createDataFrame(rows, "doc int, pos int, ref string, hyp string, ref_bio string, hyp_bio string")).orderBy("doc", "start").collect()
+    assert [(r.doc, r.ref, r.hyp, r.label) for r in found] == [x for d, text in enumerate(["Bryan Adams Getty", "Bryan Adams", "Bryan", ""]) for x in ((d, "$100.000", "$100000", "MONEY"), (d, "Bryan Adams", text, "PERSON"))]
 
 
 def test_time_tokens(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import encode as E
-from ..operators import entities, evaluation, segments, selection, windows
+from ..operators import entities, evaluation, segments, selection, tags, windows
 from ..operators.entities import Tagger
 from ..sources.transcripts import flattened
 
@@ -57,9 +57,8 @@ def evaluate(refs: DataFrame, hyps: DataFrame, *by: str, tagged: bool = True) ->
     """
     rows = evaluation.aligned(evaluation.prepared_pairs(refs, hyps))
     positions = evaluation.exploded(rows)
-    bio = evaluation.with_bio(rows)
-    side = lambda s: evaluation.bio_spans(bio.select("doc", F.posexplode(f"{s}_bio").alias("pos", "bio")))
-    pairs = evaluation.label_pairs(bio) if tagged else evaluation.span_text_pairs(bio)
+    pairs = evaluation.label_pairs(evaluation.with_bio(positions)) if tagged else evaluation.span_text_pairs(positions)
+    side = lambda s: evaluation.bio_spans(tags.bio_labels(positions, s))
     sums = ["hits", "substitutions", "deletions", "insertions", "char_errors", "chars"]
     errors = evaluation.error_counts(rows).groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums])
     out = {

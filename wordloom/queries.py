@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import encode as E
 from .functions import sequence as S
 from .functions import text as X
-from .operators import entities, evaluation, selection, windows
+from .operators import entities, evaluation, selection, tags, windows
 from .session import ship
 from .streaming.windows import stream_sections
 
@@ -167,7 +167,7 @@ def lowered_text(spark, sf_dir):
 def tag_repair(spark, sf_dir):
     """Unpaired tags of damaged transcripts taken away; tests hold it against goldens and a second implementation."""
     rows = angle_tagged(tokens(transcripts(spark, sf_dir)))
-    return rows.select("doc", S.repair_tags(X.correct_tags(F.col("text"))).alias("repaired"))
+    return tags.repair_tags(rows.select("doc", X.correct_tags(F.col("text")).alias("repaired")), "repaired")
 
 
 # ---- windows ---------------------------------------------------------------------------------------------------------
