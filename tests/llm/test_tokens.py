@@ -61,6 +61,22 @@ def test_shards_round_trip(spark):
     assert empty.get(1) is None and empty.manifest["ids"] == 0
 
 
+def test_one_id_over_many_shards(spark):
+    """An id of half of all rows, a null id and repeated rows, in shards of a few texts."""
+    rows = [(7, f"text {i % 90} of one id") for i in range(300)] + [(i, f"other {i}") for i in range(250)] + [(None, "x")] * 5
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, head int").repartition(5)
+    store = write_shards(docs, Scratch(spark, "test").path("hot"), PATH, bucket_keys=50, shard_bytes=400)
+    assert len(store.manifest["shards"]) > 10
+    got = sorted((r.start, r.id, r.copy, r.n_tokens, r.ids_crc32) for r in store.digests(document_keys(docs)).collect())
+    assert [(r[1] is not None, r[1] or 0) for r in got] == sorted((d is not None, d or 0) for d, _ in rows)
+    assert sorted(r[2] for r in got if r[1] == 7) == list(range(301))
+    assert [r[2] for r in got if r[1] == 7] == list(range(301))
+    assert [r[0] for r in got] == [0, *np.cumsum([r[3] for r in got]).tolist()][:-1]
+    assert sorted((repr(r[1]), r[4]) for r in got) == sorted((repr(d), zlib.crc32(ids_of(t).tobytes())) for d, t in rows)
+    with pytest.raises(FileExistsError):
+        write_shards(docs, store.root, PATH)
+
+
 def test_shards_of_wide_ids(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     with pytest.raises(Exception, match="more than 2 bytes"):

@@ -14,16 +14,17 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +35,13 @@ SHARD_HEAD = 16
 #: Keys in an index bucket on average; a bucket is built and read by one task.
 BUCKET_KEYS = 200_000
 LEVELS = 24
-#: Beside a shuffle's buffers the word cache is kept smaller, and texts are taken in smaller slices.
-CACHE_WORDS, SLICE = 150_000, 4 << 20
+SLICE = 4 << 20
+#: Text bytes of a shard on average, and the most shards, whose bounds go to the executors.
+SHARD_BYTES, MAX_SHARDS = 32 << 20, 10_000
+#: Characters of a text that order rows of one id before its hash does.
+HEAD = 64
+#: Copies of an id that one row of ``document_keys`` is opened into.
+KEY_BLOCK = 10_000
 READ_BYTES = 8 << 20
 
 
@@ -50,7 +56,13 @@ def _write(root: str, name: str, chunks: Iterator[bytes]) -> None:
     with fs.open_output_stream(part) as out:
         for chunk in chunks:
             out.write(chunk)
-    fs.move(part, f"{base}/{name}")
+    # A rename need not replace: where another attempt was first, its file, which is the same, stays.
+    try:
+        fs.move(part, f"{base}/{name}")
+    except OSError:
+        if fs.get_file_info(f"{base}/{name}").type == pafs.FileType.NotFound:
+            raise
+        fs.delete_file(part)
 
 
 def _read(root: str, name: str) -> bytes:
@@ -162,61 +174,135 @@ def _key_hashes(key: str) -> tuple[int, int, int]:
 # ---- writer ----------------------------------------------------------------------------------------------------------
 
 
-def write_shards(docs: DataFrame, root: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, id_bytes: int = 2, bucket_keys: int = BUCKET_KEYS) -> TokenStore:
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, head, th, text): id, head and th give the order of rows in the shards."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.select("id", F.substring("text", 1, HEAD).alias("head"), F.xxhash64("text").alias("th"), "text")
+
+
+def _bounds(rows: DataFrame, shard_bytes: int) -> list[tuple]:
+    """The first key of each shard but the first, for shards of about equally many rows; text is read for its size and keys only."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, min(MAX_SHARDS, -(-size // shard_bytes)))
+    keys = rows.select("id", "head", "th").repartitionByRange(shards, *_order())
+    first = keys.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("id", "head", "th")).alias("key")).collect()
+    return sorted(_comparable(*r["key"]) for r in first)[1:]
+
+
+def _shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches cut where the shard changes, each with its shard."""
+    for batch in batches:
+        shard = batch.column("shard").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                yield int(shard[a]), batch.slice(a, b - a)
+
+
+def _order() -> list[Column]:
+    return [F.col("id").asc_nulls_first(), F.col("head"), F.col("th")]
+
+
+def _comparable(key, head: str, th: int) -> tuple:
+    """Orders as Spark does: null ids first, texts by code point."""
+    return key is not None, 0 if key is None else key, head, th
+
+
+def _lanes(spark: SparkSession, shards: int) -> np.ndarray:
+    """For each shard a value that Spark's hash puts into a partition of its own; a shared one would do no harm."""
+    values = spark.range(40 * shards).select(F.col("id").cast("int").alias("v")).groupBy(F.pmod(F.hash("v"), F.lit(shards)).alias("p")).agg(F.min("v").alias("v"))
+    found = {r["p"]: r["v"] for r in values.collect()}
+    return np.array([found.get(p, p) for p in range(shards)], np.int32)
+
+
+def _encoded(rows: DataFrame, tokenizer: str, end_id: int, id_bytes: int, bounds: list[tuple]) -> DataFrame:
+    """(lane, shard, id, head, th, ids) of (id, head, th, text): ids are the bytes of the ids."""
+    lanes = _lanes(rows.sparkSession, len(bounds) + 1)
+    kind = T.StructType([T.StructField("lane", T.IntegerType()), T.StructField("shard", T.IntegerType()), rows.schema["id"], rows.schema["head"], T.StructField("th", T.LongType()), T.StructField("ids", T.BinaryType())])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder.of(tokenizer)
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                ends, ids = encoder.encode(part.column("text"), end_id)
+                if id_bytes == 2 and len(ids) and int(ids.max()) > 0xFFFF:
+                    raise OverflowError("an id needs more than 2 bytes")
+                offsets = pa.py_buffer((ends * id_bytes).astype(np.int32))
+                raw = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, offsets, pa.py_buffer(ids.astype(f"<u{id_bytes}"))])
+                key = [part.column(c) for c in ("id", "head", "th")]
+                shard = np.array([bisect_right(bounds, _comparable(*k)) for k in zip(*[c.to_pylist() for c in key])], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(lanes[shard]), pa.array(shard), *key, raw], kind.names)
+
+    return rows.mapInArrow(encode, kind)
+
+
+def write_shards(docs: DataFrame, root: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, id_bytes: int = 2, bucket_keys: int = BUCKET_KEYS, shard_bytes: int = SHARD_BYTES) -> TokenStore:
     """Encode every text, append ``end_id`` and write the ids in ascending id order under ``root``, with their index.
 
     ``root`` is a URI that every executor can write (spark.checkpoint.dir's file system, or any that
-    pyarrow opens). Null ids come first; null and empty texts have the end id alone; rows that share an
-    id follow each other by text and are numbered from 0. Ids of 2 bytes need a vocabulary below
-    65,536; a larger id raises. Empty input gives a store without shards.
-
-    One range exchange of (id, text); shards are its partitions, so their number follows the data and
-    each writer streams. Only one row per shard and per bucket reaches the driver. Tasks rename whole
+    pyarrow opens), and holds no store yet. Null ids come first; null and empty texts have the end id
+    alone; rows that share an id follow each other by the first ``HEAD`` characters of the text, then by
+    a hash of it, and are numbered from 0. Ids of 2 bytes need a vocabulary below 65,536; a larger id
+    raises. Empty input gives a store without shards; other columns are not read.
+
+    Shards are ranges of rows in that order, about one for each ``shard_bytes`` of text up to
+    ``MAX_SHARDS``; their bounds come from an exchange of keys. As the order takes the text in, an id with
+    many texts is spread over shards. Texts are encoded where they lie, once, and only ids are exchanged;
+    a writer streams. Only one row per shard and per bucket reaches the driver. Tasks rename whole
     files into place, so a task that runs twice does no harm.
     """
     spark = docs.sparkSession
     fs, base = _store(root)
+    if fs.get_file_info(f"{base}/manifest.json").type != pafs.FileType.NotFound:
+        raise FileExistsError(f"{root} holds a store already")
     fs.create_dir(base, recursive=True)
-    ordered = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    keyed = _keyed(docs, id_col, text_col)
+    bounds = _bounds(keyed, shard_bytes)
+    ordered = _encoded(keyed, tokenizer, end_id, id_bytes, bounds).repartition(len(bounds) + 1, "lane").sortWithinPartitions("shard", *_order()).select("shard", "id", "ids")
     id_type = ordered.schema["id"].dataType
     rows_type = T.StructType([T.StructField("id", id_type), T.StructField("copy", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("n", T.LongType())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId()
-        encoder, rows = WordEncoder.of(tokenizer, CACHE_WORDS), []
+        rows: list[pa.RecordBatch] = []
 
-        def payload() -> Iterator[bytes]:
+        def payload(shard: int, parts: Iterator[tuple[int, pa.RecordBatch]]) -> Iterator[bytes]:
             yield SHARD_MAGIC + np.uint64(id_bytes).astype("<u8").tobytes()
             at, last, copy = 0, object(), 0
-            for batch in chain([first], batches):
-                for part in slices(batch, "text", SLICE):
-                    bounds, ids = encoder.encode(part.column("text"), end_id)
-                    if id_bytes == 2 and len(ids) and int(ids.max()) > 0xFFFF:
-                        raise OverflowError("an id needs more than 2 bytes")
-                    copies = []
-                    for doc in (names := part.column("id").to_pylist()):
-                        copy, last = (copy + 1 if doc == last else 0), doc
-                        copies.append(copy)
-                    sizes = np.diff(bounds)
-                    rows.append(pa.RecordBatch.from_arrays([part.column("id"), pa.array(copies, pa.int32()), pa.array(np.full(len(names), shard, np.int32)), pa.array(bounds[:-1] + at), pa.array(sizes)], ["id", "copy", "shard", "at", "n"]))
-                    at += int(bounds[-1])
-                    yield ids.astype(f"<u{id_bytes}").tobytes()
-
-        first = next(batches, None)
-        if first is None:
-            return
-        _write(root, f"shard-{shard:07d}.ids", payload())
-        yield from rows
+            for _, part in parts:
+                sizes = pc.binary_length(part.column("ids")).to_numpy().astype(np.int64) // id_bytes
+                copies = []
+                for doc in part.column("id").to_pylist():
+                    copy, last = (copy + 1 if doc == last else 0), doc
+                    copies.append(copy)
+                ends = np.cumsum(sizes) + at
+                rows.append(pa.RecordBatch.from_arrays([part.column("id"), pa.array(copies, pa.int32()), part.column("shard"), pa.array(ends - sizes), pa.array(sizes)], rows_type.names))
+                at = int(ends[-1])
+                yield b"".join(part.column("ids").to_pylist())
+
+        for shard, parts in groupby(_shards_of(batches), key=lambda x: x[0]):
+            _write(root, f"shard-{shard:07d}.ids", payload(shard, parts))
+            yield from rows
+            rows.clear()
 
     entries_at = f"{root}/entries"
     ordered.mapInArrow(write, rows_type).write.mode("overwrite").parquet(entries_at)
     entries = spark.read.schema(rows_type).parquet(entries_at)
-    sizes = sorted((r["shard"], r["ids"], r["docs"]) for r in entries.groupBy("shard").agg(F.sum("n").alias("ids"), F.count(F.lit(1)).alias("docs")).collect())
-    shards, before = [], 0
-    for shard, ids, _ in sizes:
-        shards.append({"shard": shard, "ids": ids, "before": before})
-        before += ids
-    buckets = max(1, -(-sum(d for _, _, d in sizes) // bucket_keys))
+    ends = entries.groupBy("shard").agg(F.sum("n").alias("ids"), F.count(F.lit(1)).alias("docs"), F.min_by("id", "at").alias("first"), F.max_by("id", "at").alias("last"), F.max_by("copy", "at").alias("copies"))
+    sizes = sorted(ends.collect(), key=lambda r: r["shard"])
+    shards, before, carried, known, last = [], 0, [], 0, object()
+    for r in sizes:
+        known = known if r["first"] == last else 0
+        carried.append((r["shard"], known))
+        # Rows of its last id up to the end of this shard, which the next one may go on with.
+        known, last = r["copies"] + 1 + (known if r["first"] == r["last"] else 0), r["last"]
+        shards.append({"shard": r["shard"], "ids": r["ids"], "before": before})
+        before += r["ids"]
+    buckets = max(1, -(-sum(r["docs"] for r in sizes) // bucket_keys))
+    going_on = [(r["shard"], r["first"], n) for r, (_, n) in zip(sizes, carried) if n]
+    if going_on:
+        more = spark.createDataFrame(going_on, T.StructType([rows_type["shard"], T.StructField("begun", id_type), T.StructField("known", T.IntegerType())]))
+        number = F.when(F.col("id").eqNullSafe(F.col("begun")), F.col("copy") + F.col("known")).otherwise(F.col("copy"))
+        entries = entries.join(F.broadcast(more), "shard", "left").withColumn("copy", F.coalesce(number, "copy"))
 
     def build(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -301,7 +387,7 @@ class TokenStore:
 
 
 def document_keys(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, copy) of every row."""
+    """(id, copy) of every row. Counts of an id are opened in blocks, so no array grows with them."""
     counts = docs.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("rows"))
-    return counts.select("id", F.explode(F.sequence(F.lit(0), (F.col("rows") - 1).cast("int"))).alias("copy"))
-
+    blocks = counts.select("id", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(KEY_BLOCK).cast("long"))).alias("low"))
+    return blocks.select("id", F.explode(F.sequence("low", F.least(F.col("low") + KEY_BLOCK, "rows") - 1)).alias("copy")).withColumn("copy", F.col("copy").cast("int"))
