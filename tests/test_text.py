@@ -74,6 +74,15 @@ def test_alignment_is_least_cost(spark):
     assert [r[0] for r in got] == [distance(a, b) for a, b in pairs]
 
 
+def test_char_distance(spark):
+    rng = random.Random(6)
+    pairs = [("".join(rng.choice("abé漢") for _ in range(rng.randrange(90))), "".join(rng.choice("abé漢") for _ in range(rng.randrange(90)))) for _ in range(200)]
+    assert [S.edit_distance(a, b) for a, b in pairs] == [distance(a, b) for a, b in pairs]
+    frame = spark.createDataFrame([*((i, a, b) for i, (a, b) in enumerate(pairs)), (200, None, "x")], "i int, a string, b string")
+    got = [r[0] for r in frame.orderBy("i").select(S.char_distance(F.col("a"), F.col("b"), 500)).collect()]
+    assert got == [*(distance(a, b) for a, b in pairs), None]
+
+
 def test_word_distance_of_many_words(spark):
     a, b = [f"w{i}" for i in range(1500)], [f"w{i}" for i in range(1500) if i % 9]
     assert spark.createDataFrame([(a, b)], "a array<string>, b array<string>").select(S.word_distance(F.col("a"), F.col("b"))).first()[0] == len(a) - len(b)

@@ -106,11 +106,29 @@ def mid_mask(ids: Column) -> Column:
     return F.transform(ids, lambda x, i: (x >= 0) & (i + 1 >= first) & (i + 1 < last) & (first > 0))
 
 
+def log_sum_exp(logits: Column) -> Column:
+    """The logarithm of the sum of exponentials, with the largest logit taken out first."""
+    top = F.array_max(logits).cast("double")
+    return top + F.log(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top)))
+
+
 def log_softmax_at(logits: Column, target: Column) -> Column:
-    """log of the softmax share of the logit at index target, with the largest logit taken out first."""
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top.cast("double")))
-    return F.get(logits, target).cast("double") - top.cast("double") - F.log(total)
+    """log of the softmax share of the logit at index target."""
+    return F.get(logits, target).cast("double") - log_sum_exp(logits)
+
+
+def smoothed_loss(logits: Column, target: Column, share: float) -> Column:
+    """Cross-entropy against a target that gives ``share`` to all other classes alike; the entropy of that target, the
+    least loss there is, is not taken off."""
+    total, n = log_sum_exp(logits), F.size(logits)
+    own = total - F.get(logits, target).cast("double")
+    others = n * total - F.aggregate(logits, F.lit(0.0), lambda a, x: a + x.cast("double")) - own
+    return F.lit(1.0 - share) * own + F.lit(share) / (n - 1) * others
+
+
+def segmented_loss(nll: Column, labels: Column, mid: Column, penalty: float) -> Column:
+    """An aggregate over label rows: the masked loss of those that count, mid rows whole and others by ``penalty``."""
+    return masked_loss(F.when(labels >= 0, nll).otherwise(0.0), mid & (labels >= 0), penalty)
 
 
 def masked_loss(nll: Column, mask: Column, penalty: float = 1.0) -> Column:

@@ -91,6 +91,7 @@ def clean_strange(text: Column) -> Column:
 
 def preclean(text: Column) -> Column:
     """Runtime cleaning: boundary markers and quotes to spaces, tags glued to their words, odd tags and lone marks dropped."""
+    # The marker, and the patterns in the order in which they apply.
     out = F.replace(text, F.lit("*|"), F.lit(" "))
     out = F.translate(out, TO_SPACE, " " * len(TO_SPACE))
     out = F.regexp_replace(out, r"(?U)(\d+) %", "$1%")
@@ -103,6 +104,7 @@ def preclean(text: Column) -> Column:
 
 def clean_mark_mistakes(text: Column) -> Column:
     """Space after a closing tag's mark and between words joined by any one character or a comma."""
+    # The patterns in the order in which they apply.
     out = F.regexp_replace(text, r"(?U)\].([\p{L}\p{N}_])", "]. $1")
     out = F.regexp_replace(out, r"(?U)([\p{L}\p{N}_]).([\p{L}\p{N}_])", "$1 $2")
     return F.regexp_replace(out, r"([A-Za-z]),([A-Za-z])", "$1, $2")

@@ -44,10 +44,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---- stand-ins -------------------------------------------------------------------------------------------------------
 
 
-def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc"), "text")
-
-
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
 
@@ -74,8 +70,10 @@ def damaged(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "pos", F.col("tok").alias("ref"), hyp.alias("hyp"))
 
 
-EN = "d AS (SELECT doc_id AS doc, text FROM documents WHERE lang = 'en')"
-TOKENS = f"{EN}, l AS (SELECT doc, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM d), t AS (SELECT doc, unnest(ws) AS tok, generate_subscripts(ws, 1) - 1 AS pos FROM l)"
+#: White space as ``functions.text.SPACE`` has it, for RE2.
+SPACES = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+DOCS = "d AS (SELECT doc_id AS doc, text FROM documents)"
+TOKENS = f"{DOCS}, l AS (SELECT doc, list_filter(string_split_regex(text, '{SPACES}+'), lambda x: x <> '') AS ws FROM d), t AS (SELECT doc, unnest(ws) AS tok, generate_subscripts(ws, 1) - 1 AS pos FROM l)"
 DAMAGED = f"{TOKENS}, lowd AS (SELECT doc, pos, tok, CASE WHEN (pos + 1) % 5 = 0 THEN lower(tok) ELSE tok END AS low FROM t), dm AS (SELECT doc, pos, tok AS ref, CASE WHEN (pos + 1) % 7 = 0 THEN '*' WHEN (pos + 1) % 3 = 0 THEN regexp_replace(low, '[.!;,?]$', '') ELSE low END AS hyp FROM lowd)"
 EVENTS = "e0 AS (SELECT user_id AS doc, event_id, event_type AS word, epoch_us(ts) AS us FROM events), e1 AS (SELECT doc, word, (us - min(us) OVER (PARTITION BY doc)) // 1000 AS start, row_number() OVER (PARTITION BY doc ORDER BY us, event_id) - 1 AS idx FROM e0), w AS (SELECT doc, idx, word, start, start + 500 AS \"end\" FROM e1)"
 MEMBERS = f"{EVENTS}, tot AS (SELECT doc, arg_max(\"end\", idx) AS total FROM w GROUP BY doc), ks AS (SELECT doc, unnest(generate_series(0, (total - 1) // {MID})) AS k FROM tot), m AS (SELECT w.*, k, s.side FROM ks JOIN w USING (doc), (VALUES ('left'), ('mid'), ('right')) s(side) WHERE CASE side WHEN 'left' THEN start >= greatest(0, k * {MID} - {LEFT}) AND start < k * {MID} WHEN 'mid' THEN start >= k * {MID} AND start < (k + 1) * {MID} ELSE start >= (k + 1) * {MID} AND start < (k + 1) * {MID} + {RIGHT} END)"
@@ -90,12 +88,12 @@ RULED = f"{TOKENS}, p AS (SELECT doc, pos, tok, lag(tok) OVER (PARTITION BY doc
 
 @query(f"WITH {TOKENS} SELECT count(DISTINCT doc) AS docs, count(*) AS tokens, count(DISTINCT tok) AS distinct_tokens, sum(length(tok)) AS chars FROM t")
 def token_stats(spark, sf_dir):
-    return tokens(english(spark, sf_dir)).agg(F.count_distinct("doc").alias("docs"), F.count(F.lit(1)).alias("tokens"), F.count_distinct("tok").alias("distinct_tokens"), F.sum(F.length("tok")).alias("chars"))
+    return tokens(transcripts(spark, sf_dir)).agg(F.count_distinct("doc").alias("docs"), F.count(F.lit(1)).alias("tokens"), F.count_distinct("tok").alias("distinct_tokens"), F.sum(F.length("tok")).alias("chars"))
 
 
 @query(f"WITH {RULED} SELECT label, count(*) AS n FROM r WHERE label IS NOT NULL GROUP BY label")
 def entity_counts(spark, sf_dir):
-    rows = tokens(english(spark, sf_dir)).withColumn("prev", F.lag("tok").over(Window.partitionBy("doc").orderBy("pos")))
+    rows = tokens(transcripts(spark, sf_dir)).withColumn("prev", F.lag("tok").over(Window.partitionBy("doc").orderBy("pos")))
     return rows.withColumn("label", entities.rule_label(F.col("tok"), F.col("prev"))).where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -109,7 +107,7 @@ def spoken(rows: DataFrame) -> DataFrame:
 @query(f"""WITH {RULED}, n AS (SELECT *, translate(tok, '.,-', '') AS bare FROM r WHERE label IS NULL AND regexp_matches(tok, '[0-9]'))
 SELECT doc, pos AS puncted_start, tok AS val FROM n WHERE length(bare) > 0 AND (regexp_matches(bare, '^\\p{{Nd}}+$') OR (length(bare) > 1 AND length(regexp_replace(bare, '[^\\p{{Nd}}]', '', 'g')) >= 0.4 * length(bare)))""")
 def numeric_leftovers(spark, sf_dir):
-    rows = spoken(tokens(english(spark, sf_dir)))
+    rows = spoken(tokens(transcripts(spark, sf_dir)))
     return entities.numeric_leftovers(rows, entities.rule_entities(rows)).select("doc", "puncted_start", "val")
 
 
@@ -118,32 +116,34 @@ OFFSETS = f"""{TOKENS}, s AS (SELECT doc, pos, tok, CASE WHEN regexp_matches(tok
 
 @query(f"WITH {OFFSETS}, o AS (SELECT doc, sum(width) OVER (PARTITION BY doc ORDER BY pos) - width AS nstart, width FROM s) SELECT doc, CAST(sum(width) AS BIGINT) AS words, count(*) AS tokens, CAST(max(nstart) AS BIGINT) AS last_start FROM o GROUP BY doc")
 def word_offsets(spark, sf_dir):
-    return spoken(tokens(english(spark, sf_dir))).groupBy("doc").agg(F.sum(F.col("nend") - F.col("nstart")).alias("words"), F.count(F.lit(1)).alias("tokens"), F.max("nstart").cast("long").alias("last_start"))
+    return spoken(tokens(transcripts(spark, sf_dir))).groupBy("doc").agg(F.sum(F.col("nend") - F.col("nstart")).alias("words"), F.count(F.lit(1)).alias("tokens"), F.max("nstart").cast("long").alias("last_start"))
 
 
 @query(f"WITH {TOKENS} SELECT right(tok, 1) AS mark, count(*) AS n FROM t WHERE right(tok, 1) IN ('.', '!', ';', ',', '?') GROUP BY 1")
 def punct_marks(spark, sf_dir):
-    return tokens(english(spark, sf_dir)).withColumn("mark", X.final_mark(F.col("tok"))).where("mark is not null").groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
+    return tokens(transcripts(spark, sf_dir)).withColumn("mark", X.final_mark(F.col("tok"))).where("mark is not null").groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {EN}, a AS (SELECT doc, translate(replace(text, '*|', ' '), '"''&’‘”“—(){{}}', '            ') AS t FROM d),
-b AS (SELECT doc, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '([\\p{{Nd}}]+) %', '\\1%', 'g'), '(\\[[A-Z_]+\\]) ([A-Za-z0-9])', '\\1\\2', 'g'), '([A-Za-z0-9]) (\\[/[A-Z_]+\\])', '\\1\\2', 'g'), '[^\\p{{L}}\\p{{N}}_\\s!-/:-@\\[-`{{-~]+', '', 'g') AS t FROM a),
-c AS (SELECT doc, list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '' AND x NOT IN ('.', '!', ';', ',', '?') AND NOT contains('!"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', x)) AS ws FROM b)
+@query(f"""WITH {DOCS}, a AS (SELECT doc, translate(replace(text, '*|', ' '), '"''&’‘”“—(){{}}', '            ') AS t FROM d),
+b AS (SELECT doc, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '([\\p{{Nd}}]+) %', '\\1%', 'g'), '(\\[[A-Z_]+\\]) ([A-Za-z0-9])', '\\1\\2', 'g'), '([A-Za-z0-9]) (\\[/[A-Z_]+\\])', '\\1\\2', 'g'), '[^\\p{{L}}\\p{{N}}_{SPACES[1:-1]}!-/:-@\\[-`{{-~]+', '', 'g') AS t FROM a),
+c AS (SELECT doc, list_filter(string_split_regex(t, '{SPACES}+'), lambda x: x <> '' AND x NOT IN ('.', '!', ';', ',', '?') AND NOT contains('!"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', x)) AS ws FROM b)
 SELECT doc, len(ws) AS n_tokens, md5(array_to_string(ws, ' ')) AS cleaned FROM c""")
 def preclean_text(spark, sf_dir):
-    out = english(spark, sf_dir).withColumn("clean", X.preclean(F.col("text")))
+    out = transcripts(spark, sf_dir).withColumn("clean", X.preclean(F.col("text")))
     return out.select("doc", F.size(X.split_tokens(F.col("clean"))).cast("long").alias("n_tokens"), F.md5(F.col("clean").cast("binary")).alias("cleaned"))
 
 
-@query(f"WITH {TOKENS} SELECT doc, md5(string_agg(regexp_replace(tok, '[.!;,?]$', ''), ' ' ORDER BY pos) FILTER (WHERE regexp_replace(tok, '[.!;,?]$', '') <> '')) AS normal FROM t GROUP BY doc")
+@query(f"WITH {TOKENS} SELECT d.doc, md5(string_agg(regexp_replace(tok, '[.!;,?]$', ''), ' ' ORDER BY pos) FILTER (WHERE regexp_replace(tok, '[.!;,?]$', '') <> '')) AS normal FROM d LEFT JOIN t ON d.doc = t.doc GROUP BY d.doc")
 def normalized_text(spark, sf_dir):
-    return english(spark, sf_dir).where(F.size(X.split_tokens(F.col("text"))) > 0).select("doc", F.md5(F.nullif(X.normalize_text(F.col("text")), F.lit("")).cast("binary")).alias("normal"))
+    return transcripts(spark, sf_dir).select("doc", F.md5(F.nullif(X.normalize_text(F.col("text")), F.lit("")).cast("binary")).alias("normal"))
 
 
-@query("SELECT page_id, len(string_split(replace(html, '</', '*|'), '*|')) AS segments, length(string_split(replace(html, '</', '*|'), '*|')[1]) AS first_length FROM pages")
+@query("WITH p AS (SELECT page_id, string_split(replace(html, '</', '*|'), '*|') AS parts FROM pages) SELECT page_id, len(parts) AS segments, length(parts[1]) AS first_length, md5(array_to_string(list_transform(parts, lambda x: length(x) || ':' || x), '')) AS pieces FROM p")
 def boundary_split(spark, sf_dir):
     parts = X.boundary_segments(F.replace("html", F.lit("</"), F.lit("*|")))
-    return table(spark, sf_dir, "pages").select("page_id", F.size(parts).cast("long").alias("segments"), F.length(parts[0]).cast("long").alias("first_length"))
+    rows = table(spark, sf_dir, "pages").select("page_id", parts.alias("parts"))
+    pieces = F.array_join(F.transform("parts", lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)), "")
+    return rows.select("page_id", F.size("parts").cast("long").alias("segments"), F.length(F.get("parts", 0)).cast("long").alias("first_length"), F.md5(pieces.cast("binary")).alias("pieces"))
 
 
 def angle_tagged(rows: DataFrame) -> DataFrame:
@@ -155,12 +155,12 @@ def angle_tagged(rows: DataFrame) -> DataFrame:
 
 @query(f"WITH {TOKENS} SELECT doc, md5(string_agg(CASE WHEN pos % 11 = 3 THEN '[PERSON]' || tok || '[/PERSON]' WHEN pos % 11 = 7 THEN '[DATE]' || tok ELSE tok END, ' ' ORDER BY pos)) AS corrected FROM t GROUP BY doc")
 def tag_correction(spark, sf_dir):
-    return angle_tagged(tokens(english(spark, sf_dir))).select("doc", F.md5(X.correct_tags(F.col("text")).cast("binary")).alias("corrected"))
+    return angle_tagged(tokens(transcripts(spark, sf_dir))).select("doc", F.md5(X.correct_tags(F.col("text")).cast("binary")).alias("corrected"))
 
 
 @query(f"WITH {TOKENS} SELECT doc, md5(string_agg(CASE WHEN pos % 11 = 3 THEN '[PERSON]' || lower(tok) || '[/PERSON]' WHEN pos % 11 = 7 THEN '[DATE]' || lower(tok) ELSE lower(tok) END, ' ' ORDER BY pos)) AS lowered FROM t GROUP BY doc")
 def lowered_text(spark, sf_dir):
-    return angle_tagged(tokens(english(spark, sf_dir))).select("doc", F.md5(X.lower_keeping_tags(X.correct_tags(F.col("text"))).cast("binary")).alias("lowered"))
+    return angle_tagged(tokens(transcripts(spark, sf_dir))).select("doc", F.md5(X.lower_keeping_tags(X.correct_tags(F.col("text"))).cast("binary")).alias("lowered"))
 
 
 @query()
@@ -224,23 +224,33 @@ def _token_sql(ms: str) -> str:
     return f"printf('<|%.2f|>', {_offset_sql(ms)})"
 
 
-@query(f"""WITH {CHUNKS}, f AS (SELECT *, CASE WHEN coalesce(ls, 0) <> 0 THEN ls ELSE ms END AS st FROM ch),
-g AS (SELECT doc, k, {_token_sql("ms")} AS mst, {_token_sql("me")} AS met, CASE WHEN coalesce(le, 0) <> 0 AND {_offset_sql("le")} <> 0 THEN {_token_sql("le")} ELSE '<|0.00|>' END AS let,
+def chunk_texts(spark, sf_dir) -> DataFrame:
+    """Chunks with st and en, their own begin and end, and text, the words of their three sections between bars."""
+    c = F.col
+    members = windows.window_members(event_words(spark, sf_dir), LEFT, MID, RIGHT)
+    side = lambda s: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c("side") == s, F.struct("idx", "word")))), lambda x: x["word"]), " ")
+    texts = members.groupBy("doc", "k").agg(F.concat_ws("|", side("left"), side("mid"), side("right")).alias("text"))
+    rows = windows.chunks(windows.sections(members)).join(texts, ["doc", "k"])
+    return rows.withColumns({"st": X.or_else(c("left.start_time"), c("mid.start_time")), "en": X.or_else(c("right.end_time"), c("mid.end_time"))})
+
+
+TEXTS = f"""{CHUNKS}, x AS (SELECT doc, k, coalesce(string_agg(word, ' ' ORDER BY idx) FILTER (WHERE side = 'left'), '') AS lt, coalesce(string_agg(word, ' ' ORDER BY idx) FILTER (WHERE side = 'mid'), '') AS mt, coalesce(string_agg(word, ' ' ORDER BY idx) FILTER (WHERE side = 'right'), '') AS rt FROM m GROUP BY doc, k),
+f AS (SELECT ch.*, lt, mt, rt, CASE WHEN coalesce(ls, 0) <> 0 THEN ls ELSE ms END AS st, CASE WHEN coalesce(re, 0) <> 0 THEN re ELSE me END AS en FROM ch JOIN x USING (doc, k))"""
+
+
+@query(f"""WITH {TEXTS}, g AS (SELECT doc, k, lt, mt, rt, {_token_sql("ms")} AS mst, {_token_sql("me")} AS met, CASE WHEN coalesce(le, 0) <> 0 AND {_offset_sql("le")} <> 0 THEN {_token_sql("le")} ELSE '<|0.00|>' END AS let,
   CASE WHEN coalesce(rs, 0) <> 0 THEN {_token_sql("rs")} ELSE {_token_sql("me")} END AS rst, CASE WHEN coalesce(re, 0) <> 0 THEN {_token_sql("re")} ELSE {_token_sql("me")} END AS ret FROM f)
-SELECT doc, k, '<|left|><|0.00|>a ' || let || let || '<|mid|><|startoftranscript|><|notimestamps|>' || mst || mst || 'b ' || met || met || '<|endoftext|><|right|>' || rst || rst || 'c' || ret || ret AS encoded FROM g""")
+SELECT doc, k, '<|left|><|0.00|>' || lt || ' ' || let || let || '<|mid|><|startoftranscript|><|notimestamps|>' || mst || mst || mt || ' ' || met || met || '<|endoftext|><|right|>' || rst || rst || rt || ret || ret AS encoded FROM g""")
 def windowed_rows(spark, sf_dir):
     c = F.col
-    rows = event_chunks(spark, sf_dir).withColumn("st", X.or_else(c("left.start_time"), c("mid.start_time")))
-    return rows.select("doc", "k", E.windowed_text(F.lit("a |b |c"), c("st"), c("left.end_time"), c("mid.start_time"), c("mid.end_time"), c("right.start_time"), c("right.end_time")).alias("encoded"))
+    return chunk_texts(spark, sf_dir).select("doc", "k", E.windowed_text(c("text"), c("st"), c("left.end_time"), c("mid.start_time"), c("mid.end_time"), c("right.start_time"), c("right.end_time")).alias("encoded"))
 
 
-@query(f"""WITH {CHUNKS}, f AS (SELECT *, CASE WHEN coalesce(ls, 0) <> 0 THEN ls ELSE ms END AS st, CASE WHEN coalesce(re, 0) <> 0 THEN re ELSE me END AS en FROM ch)
-SELECT doc, k, '<|0.00|>a ' || {_token_sql("ms")} || {_token_sql("ms")} || 'b ' || CASE WHEN coalesce(rs, 0) <> 0 AND {_offset_sql("rs")} <> 0 THEN {_token_sql("rs")} || {_token_sql("rs")} ELSE '' END || CASE WHEN coalesce(rs, 0) <> 0 AND {_offset_sql("rs")} <> 0 THEN ' c' ELSE 'c' END || {_token_sql("en")} || {_token_sql("en")} AS encoded FROM f""")
+@query(f"""WITH {TEXTS}, g AS (SELECT doc, k, lt, mt, rt, {_token_sql("ms")} AS mst, coalesce(rs, 0) <> 0 AND {_offset_sql("rs")} <> 0 AS has_right, {_token_sql("rs")} AS rst, {_token_sql("en")} AS ent FROM f)
+SELECT doc, k, '<|0.00|>' || replace(trim(lt || ' ' || CASE WHEN lt <> '' THEN mst || mst || mt ELSE mt END || CASE WHEN has_right THEN rst || rst ELSE '' END || ' ' || rt), '  ', ' ') || ent || ent AS encoded FROM g""")
 def plain_rows(spark, sf_dir):
     c = F.col
-    rows = event_chunks(spark, sf_dir).withColumns({"st": X.or_else(c("left.start_time"), c("mid.start_time")), "en": X.or_else(c("right.end_time"), c("mid.end_time"))})
-    plain = E.plain_text(F.lit("a |b |c"), c("st"), c("en"), c("mid.start_time"), c("right.start_time"))
-    return rows.select("doc", "k", plain.alias("encoded"))
+    return chunk_texts(spark, sf_dir).select("doc", "k", E.plain_text(c("text"), c("st"), c("en"), c("mid.start_time"), c("right.start_time")).alias("encoded"))
 
 
 # ---- selection -------------------------------------------------------------------------------------------------------
@@ -286,13 +296,13 @@ def id_prefixes(spark, sf_dir):
 
 def order_spans(spark, sf_dir, modulus: int) -> DataFrame:
     """Entities of a customer from orders: intervals of days."""
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 3 == modulus)
+    orders = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 2 == modulus)
     start = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date"))
     label = F.when(F.col("o_orderstatus") == "O", "TIME").otherwise("DATE")
     return orders.select(F.col("o_custkey").alias("doc"), F.col("o_orderpriority").alias("val"), F.lit("").alias("normalized_val"), label.alias("label"), start.alias("puncted_start"), (start + 30 + (F.col("o_orderkey") % 60)).cast("int").alias("puncted_end"), start.alias("nstart"), start.alias("nend"), F.col("o_orderkey").alias("ord"))
 
 
-_SPANS = "o AS (SELECT o_custkey AS doc, o_orderpriority AS val, CASE WHEN o_orderstatus = 'O' THEN 'TIME' ELSE 'DATE' END AS label, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS s, o_orderkey AS ord FROM orders), i AS (SELECT *, s + 30 + ord % 60 AS e FROM o), a AS (SELECT * FROM i WHERE ord % 3 = 0), b AS (SELECT * FROM i WHERE ord % 3 = 1), x AS (SELECT a.doc, a.ord AS ao, b.ord AS bo, CASE WHEN b.e - b.s > a.e - a.s THEN b.val ELSE a.val END AS val, CASE WHEN b.e - b.s > a.e - a.s THEN b.s ELSE a.s END AS s, CASE WHEN b.e - b.s > a.e - a.s THEN b.e ELSE a.e END AS e FROM a JOIN b ON a.doc = b.doc AND a.label = 'TIME' AND b.label = 'TIME' AND a.s < b.e AND b.s < a.e)"
+_SPANS = "o AS (SELECT o_custkey AS doc, o_orderpriority AS val, CASE WHEN o_orderstatus = 'O' THEN 'TIME' ELSE 'DATE' END AS label, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS s, o_orderkey AS ord FROM orders), i AS (SELECT *, s + 30 + ord % 60 AS e FROM o), a AS (SELECT * FROM i WHERE ord % 2 = 0), b AS (SELECT * FROM i WHERE ord % 2 = 1), x AS (SELECT a.doc, a.ord AS ao, b.ord AS bo, CASE WHEN b.e - b.s > a.e - a.s THEN b.val ELSE a.val END AS val, CASE WHEN b.e - b.s > a.e - a.s THEN b.s ELSE a.s END AS s, CASE WHEN b.e - b.s > a.e - a.s THEN b.e ELSE a.e END AS e FROM a JOIN b ON a.doc = b.doc AND a.label = 'TIME' AND b.label = 'TIME' AND a.s < b.e AND b.s < a.e)"
 
 
 @query(f"WITH {_SPANS} SELECT doc, val, 'TIME' AS label, s AS puncted_start, e AS puncted_end, 0 AS kind FROM x UNION ALL SELECT doc, val, label, s, e, 1 FROM a WHERE ord NOT IN (SELECT ao FROM x) UNION ALL SELECT doc, val, label, s, e, 2 FROM b WHERE ord NOT IN (SELECT bo FROM x)")
@@ -305,7 +315,7 @@ def interval_merge(spark, sf_dir):
  WHEN regexp_matches(tok, '[0-9]') AND length(bare) > 0 AND (regexp_matches(bare, '^\\p{{Nd}}+$') OR (length(bare) > 1 AND length(regexp_replace(bare, '[^\\p{{Nd}}]', '', 'g')) >= 0.4 * length(bare))) THEN 'NUMERIC' END AS tag FROM n)
 SELECT doc, md5(string_agg(CASE WHEN tag IS NULL THEN tok ELSE '<' || tag || '>' || tok || '</' || tag || '>' END, ' ' ORDER BY pos)) AS tagged, count(tag) AS n_entities FROM g GROUP BY doc""")
 def tag_embed(spark, sf_dir):
-    rows = spoken(tokens(english(spark, sf_dir)))
+    rows = spoken(tokens(transcripts(spark, sf_dir)))
     found = entities.tag_all(rows)
     tagged = entities.embed_tags(rows, found)
     texts = tagged.groupBy("doc").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tagged"))), lambda x: x["tagged"]), " ").cast("binary")).alias("tagged"))
@@ -316,35 +326,43 @@ def tag_embed(spark, sf_dir):
 # ---- error rates and metrics -----------------------------------------------------------------------------------------
 
 
-@query("WITH a AS (SELECT * FROM benchmark WHERE regexp_matches(text, '^[\\x00-\\x7f]+$')) SELECT x.item_id AS a, y.item_id AS b, levenshtein(x.text, y.text) AS errors, round(CAST(levenshtein(x.text, y.text) AS DOUBLE) / length(x.text), 9) AS cer FROM a x JOIN a y ON y.item_id = x.item_id + 1 OR y.item_id = x.item_id + 2")
+def _coded_sql(items: str, known: str) -> str:
+    """DuckDB's levenshtein counts bytes: items of a list as one byte each, 126 kinds at most."""
+    return f"array_to_string(list_transform({items}, lambda x: chr(CAST(list_position({known}, x) AS INTEGER))), '')"
+
+
+_CER = f"levenshtein({_coded_sql('s', 'ws')}, {_coded_sql('t', 'ws')})"
+
+
+@query(f"""WITH c AS (SELECT item_id, string_split(text, '') AS cs FROM benchmark), p AS (SELECT x.item_id AS a, y.item_id AS b, x.cs AS s, y.cs AS t, list_distinct(list_concat(x.cs, y.cs)) AS ws FROM c x JOIN c y ON y.item_id = x.item_id + 1 OR y.item_id = x.item_id + 2)
+SELECT a, b, {_CER} AS errors, round(CAST({_CER} AS DOUBLE) / len(s), 9) AS cer FROM p""")
 def cer_pairs(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").where(F.col("text").rlike(r"^[\x00-\x7f]+$"))
+    items = table(spark, sf_dir, "benchmark")
     x = items.select(F.col("item_id").alias("a"), F.col("text").alias("s"), F.explode(F.array(F.col("item_id") + 1, F.col("item_id") + 2)).alias("b"))
-    rows = x.join(items.select(F.col("item_id").alias("b"), F.col("text").alias("t")), "b")
-    return rows.select("a", "b", F.levenshtein("s", "t").cast("long").alias("errors"), F.round(F.levenshtein("s", "t").cast("double") / F.length("s"), 9).alias("cer"))
+    rows = x.join(items.select(F.col("item_id").alias("b"), F.col("text").alias("t")), "b").withColumn("errors", S.char_distance(F.col("s"), F.col("t")))
+    return rows.select("a", "b", F.col("errors").cast("long").alias("errors"), F.round(F.col("errors").cast("double") / F.length("s"), 9).alias("cer"))
 
 
-def short_pairs(spark, sf_dir) -> DataFrame:
-    """(doc, r, h): the words of ASCII test items and of their damaged copies."""
-    items = table(spark, sf_dir, "benchmark").where(F.col("text").rlike(r"^[\x00-\x7f]+$")).select(F.col("item_id").alias("doc"), "text")
-    rows = damaged(tokens(items))
+def item_pairs(spark, sf_dir) -> DataFrame:
+    """(doc, r, h): the words of test items and of their damaged copies."""
+    rows = damaged(tokens(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc"), "text")))
     side = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c])
     return rows.groupBy("doc").agg(side("ref").alias("r"), F.filter(side("hyp"), lambda t: t != "*").alias("h"))
 
 
-_ITEMS = TOKENS.replace("SELECT doc_id AS doc, text FROM documents WHERE lang = 'en'", "SELECT item_id AS doc, text FROM benchmark WHERE regexp_matches(text, '^[\\x00-\\x7f]+$')")
-_SHORT = DAMAGED.replace(TOKENS, _ITEMS) + ", u AS (SELECT doc, list(ref ORDER BY pos) AS r, list(hyp ORDER BY pos) FILTER (WHERE hyp <> '*') AS h FROM dm GROUP BY doc), v AS (SELECT doc, r, h, list_distinct(list_concat(r, h)) AS ws FROM u)"
+_ITEMS = DAMAGED.replace("SELECT doc_id AS doc, text FROM documents", "SELECT item_id AS doc, text FROM benchmark") + ", u AS (SELECT doc, list(ref ORDER BY pos) AS r, list(hyp ORDER BY pos) FILTER (WHERE hyp <> '*') AS h FROM dm GROUP BY doc), v AS (SELECT doc, r, h, list_distinct(list_concat(r, h)) AS ws FROM u)"
+_WER = f"levenshtein({_coded_sql('r', 'ws')}, {_coded_sql('h', 'ws')})"
 
 
-@query(f"WITH {_SHORT} SELECT doc, levenshtein(array_to_string(list_transform(r, lambda x: chr(CAST(list_position(ws, x) + 33 AS INTEGER))), ''), array_to_string(list_transform(h, lambda x: chr(CAST(list_position(ws, x) + 33 AS INTEGER))), '')) AS errors, len(r) AS words FROM v")
+@query(f"WITH {_ITEMS} SELECT doc, {_WER} AS errors, len(r) AS words FROM v")
 def wer_pairs(spark, sf_dir):
-    return short_pairs(spark, sf_dir).select("doc", S.word_distance(F.col("r"), F.col("h")).cast("long").alias("errors"), F.size("r").cast("long").alias("words"))
+    return item_pairs(spark, sf_dir).select("doc", S.word_distance(F.col("r"), F.col("h")).cast("long").alias("errors"), F.size("r").cast("long").alias("words"))
 
 
-@query(f"WITH {_SHORT} SELECT doc, levenshtein(array_to_string(list_transform(r, lambda x: chr(CAST(list_position(ws, x) + 33 AS INTEGER))), ''), array_to_string(list_transform(h, lambda x: chr(CAST(list_position(ws, x) + 33 AS INTEGER))), '')) AS errors FROM v")
+@query(f"WITH {_ITEMS} SELECT doc, {_WER} AS errors FROM v")
 def align_ops(spark, sf_dir):
     """Errors counted off the alignment, which must be a least-cost one."""
-    rows = short_pairs(spark, sf_dir).select("doc", S.align(F.array_join("r", " "), F.array_join("h", " ")).alias("tokens"))
+    rows = item_pairs(spark, sf_dir).select("doc", S.align(F.array_join("r", " "), F.array_join("h", " ")).alias("tokens"))
     return rows.select("doc", F.size(F.filter("tokens", lambda t: t["op"] != "equal")).cast("long").alias("errors"))
 
 
@@ -360,7 +378,7 @@ _CASE = f"{DAMAGED}, b AS (SELECT doc, regexp_replace(ref, '[.!;,?]$', '') AS r,
 
 @query(f"WITH {_CASE}, c AS (SELECT doc, count(*) FILTER (WHERE r = h) AS tp, CAST(0 AS BIGINT) AS fp, count(*) FILTER (WHERE lower(r) = lower(h) AND r <> h) AS fn, count(*) FILTER (WHERE lower(r) <> lower(h)) AS tn FROM b GROUP BY doc) SELECT *, {_RATES} FROM c")
 def cap_metrics(spark, sf_dir):
-    return evaluation.rates(evaluation.case_counts(damaged(tokens(english(spark, sf_dir))), "doc"))
+    return evaluation.rates(evaluation.case_counts(damaged(tokens(transcripts(spark, sf_dir))), "doc"))
 
 
 _MARKS = f"{DAMAGED}, k AS (SELECT doc, CASE WHEN right(ref, 1) IN ('.', '!', ';', ',', '?') THEN right(ref, 1) END AS r, CASE WHEN right(hyp, 1) IN ('.', '!', ';', ',', '?') THEN right(hyp, 1) END AS h FROM dm WHERE hyp <> '*' AND ref <> '#')"
@@ -368,7 +386,7 @@ _MARKS = f"{DAMAGED}, k AS (SELECT doc, CASE WHEN right(ref, 1) IN ('.', '!', ';
 
 @query(f"WITH {_MARKS}, c AS (SELECT coalesce(r, h) AS mark, count(*) FILTER (WHERE r = h) AS tp, count(*) FILTER (WHERE r IS NULL) AS fp, count(*) FILTER (WHERE r IS NOT NULL AND r IS DISTINCT FROM h) AS fn, CAST(0 AS BIGINT) AS tn FROM k WHERE coalesce(r, h) IS NOT NULL GROUP BY 1) SELECT *, {_RATES} FROM c")
 def punct_metrics(spark, sf_dir):
-    return evaluation.rates(evaluation.mark_counts(damaged(tokens(english(spark, sf_dir)))))
+    return evaluation.rates(evaluation.mark_counts(damaged(tokens(transcripts(spark, sf_dir)))))
 
 
 def bio_rows(rows: DataFrame, shift: int = 0) -> DataFrame:
@@ -390,12 +408,12 @@ def _spans_sql(name: str, source: str) -> str:
 
 @query(f"WITH {TOKENS}, {_spans_sql('s', _bio_sql(0))} SELECT doc, label, start, length FROM s")
 def bio_chunks(spark, sf_dir):
-    return evaluation.bio_spans(bio_rows(tokens(english(spark, sf_dir))))
+    return evaluation.bio_spans(bio_rows(tokens(transcripts(spark, sf_dir))))
 
 
 @query(f"WITH {TOKENS}, {_spans_sql('r', _bio_sql(0))}, {_spans_sql('h', _bio_sql(1))}, j AS (SELECT coalesce(r.label, h.label) AS label, r.doc IS NOT NULL AS inr, h.doc IS NOT NULL AS inh FROM r FULL JOIN h ON r.doc = h.doc AND r.label = h.label AND r.start = h.start AND r.length = h.length), c AS (SELECT label, count(*) FILTER (WHERE inr AND inh) AS tp, count(*) FILTER (WHERE NOT inr) AS fp, count(*) FILTER (WHERE NOT inh) AS fn, CAST(0 AS BIGINT) AS tn FROM j GROUP BY label) SELECT *, {_RATES} FROM c")
 def ner_f1(spark, sf_dir):
-    rows = tokens(english(spark, sf_dir))
+    rows = tokens(transcripts(spark, sf_dir))
     return evaluation.rates(evaluation.span_counts(evaluation.bio_spans(bio_rows(rows)), evaluation.bio_spans(bio_rows(rows, 1)), "label"))
 
 
@@ -407,19 +425,19 @@ def starred(rows: DataFrame) -> DataFrame:
 
 @query(f"WITH {TOKENS}, x AS (SELECT doc, pos FROM t WHERE pos < 35 OR (pos % 100 >= 40 AND pos % 100 < 75) OR tok = '*'), y AS (SELECT doc, pos, pos - row_number() OVER (PARTITION BY doc ORDER BY pos) AS g FROM x) SELECT doc, min(pos) AS start, count(*) AS length FROM y GROUP BY doc, g HAVING count(*) >= 30")
 def deletion_runs(spark, sf_dir):
-    return evaluation.deletion_runs(starred(tokens(english(spark, sf_dir))))
+    return evaluation.deletion_runs(starred(tokens(transcripts(spark, sf_dir))))
 
 
 @query(f"WITH {TOKENS}, x AS (SELECT doc, pos FROM t WHERE pos < 35 OR (pos % 100 >= 40 AND pos % 100 < 75) OR tok = '*'), y AS (SELECT doc, pos, pos - row_number() OVER (PARTITION BY doc ORDER BY pos) AS g FROM x), z AS (SELECT doc, min(pos) AS start FROM y GROUP BY doc, g HAVING count(*) >= 30), f AS (SELECT doc, min(start) AS start FROM z GROUP BY doc), n AS (SELECT doc, count(*) AS n FROM t GROUP BY doc) SELECT n.doc, coalesce(start, -1) AS first_run, CASE WHEN coalesce(start, -1) > 0 THEN start ELSE n END AS kept FROM n LEFT JOIN f USING (doc)")
 def deletion_cut(spark, sf_dir):
-    rows = starred(tokens(english(spark, sf_dir))).groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "hyp"))), lambda x: x["hyp"]).alias("hyp"))
+    rows = starred(tokens(transcripts(spark, sf_dir))).groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "hyp"))), lambda x: x["hyp"]).alias("hyp"))
     at = evaluation.deletion_start(F.col("hyp"))
     return rows.select("doc", at.cast("long").alias("first_run"), F.when(at > 0, at).otherwise(F.size("hyp")).cast("long").alias("kept"))
 
 
 @query(f"WITH {_CASE}, c AS (SELECT doc, count(*) FILTER (WHERE r = h) AS tp, count(*) FILTER (WHERE lower(r) = lower(h) AND r <> h) AS fn, count(*) AS words FROM b GROUP BY doc), s AS (SELECT doc, sum(tp) AS tp, sum(fn) AS fn, sum(words) AS words, CAST(grouping(doc) AS INTEGER) AS is_total FROM c GROUP BY ROLLUP (doc)) SELECT doc, CAST(tp AS BIGINT) AS tp, CAST(fn AS BIGINT) AS fn, CAST(words AS BIGINT) AS words, is_total, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) END AS case_accuracy FROM s")
 def report_rollup(spark, sf_dir):
-    counts = evaluation.case_counts(damaged(tokens(english(spark, sf_dir))), "doc").withColumn("words", F.col("tp") + F.col("fn") + F.col("tn"))
+    counts = evaluation.case_counts(damaged(tokens(transcripts(spark, sf_dir))), "doc").withColumn("words", F.col("tp") + F.col("fn") + F.col("tn"))
     return evaluation.rolled_up(counts, "doc", "tp", "fn", "words").withColumn("case_accuracy", F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")))
 
 
@@ -433,13 +451,12 @@ def label_stats(spark, sf_dir):
 
 @query()
 def evaluation_report(spark, sf_dir):
-    """The whole evaluation of damaged test items against the items, word errors per document."""
+    """The whole evaluation of damaged transcripts against the transcripts, word errors per document."""
     from .plans.corpus import evaluate
 
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc"), "text")
-    rows = damaged(tokens(items)).where("hyp <> '*'")
-    hyps = rows.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "hyp"))), lambda x: x["hyp"]), " ").alias("text"))
-    return evaluate(items, hyps, "doc")["errors"]
+    docs = transcripts(spark, sf_dir).where("text is not null")
+    hyps = tags.joined(damaged(tokens(docs)).where("hyp <> '*'"), "hyp", "text")
+    return evaluate(docs, hyps, "doc")["errors"]
 
 
 # ---- numeric kernels -------------------------------------------------------------------------------------------------
@@ -481,3 +498,6 @@ def mid_masks(spark, sf_dir):
 def stream_windows(spark, sf_dir):
     """The plan of the streaming operator, run over the finished table; tests run it as a stream."""
     return stream_sections(table(spark, sf_dir, "events"), left_s=21600, mid_s=86400, right_s=21600).select("user_id", "k", "side", "n")
+
+
+from . import queries_core  # noqa: E402, F401  registers more

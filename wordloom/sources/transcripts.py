@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 SECTION = "struct<tokens:array<string>,start_time:bigint,end_time:bigint,start_index:bigint,end_index:bigint>"
 CHUNK = f"struct<left:{SECTION},mid:{SECTION},right:{SECTION},puncted_text:string,segmented_puncted_text:string,global_chunk_number:bigint,filename:string>"
 DOCUMENT = f"filename string, chunks array<{CHUNK}>"
-PARSED = "doc string, sentences array<struct<ptoks:array<string>,ntoks:array<string>,times:array<struct<start:bigint,end:bigint>>>>"
+PARSED = "doc {doc}, sentences array<struct<ptoks:array<string>,ntoks:array<string>,times:array<struct<start:bigint,end:bigint>>>>"
+#: Fixed value: marks that no sentence begins with and no space stands before.
 NO_SPACE_BEFORE = ".,;:?!)"
 
 
@@ -68,7 +69,7 @@ def parse_aligned(files: DataFrame) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"doc": frame["doc"], "sentences": [parse_document(x) for x in frame["xml"]]})
 
-    return files.select("doc", "xml").mapInPandas(parse, PARSED)
+    return files.select("doc", "xml").mapInPandas(parse, PARSED.format(doc=files.schema["doc"].dataType.simpleString()))
 
 
 def read_aligned(spark: SparkSession, path: str, name: str = "aligned.swc") -> DataFrame:
