@@ -196,3 +196,23 @@ def test_stream_equals_batch(spark, tmp_path: Path):
     key = ["user_id", "k", "side", "n", "first_ts", "last_ts"]
     got = sorted(tuple(r) for r in spark.table("sections").select(key).collect())
     assert got == sorted(tuple(r) for r in stream_sections(events, **sizes).select(key).collect())
+
+
+def test_stream_drops_late_rows(spark, tmp_path: Path):
+    """Windows of 20 s: the second file moves the watermark on, the fourth has a row for a window that has closed by then."""
+    files = [[1, 18, 21], [95], [97], [3, 96], [200]]
+    for i, seconds in enumerate(files):
+        rows = spark.createDataFrame([(1, s) for s in seconds], "user_id int, s int").select("user_id", F.timestamp_seconds("s").alias("ts"))
+        rows.coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+    from pyspark.sql.types import IntegerType, StructField, StructType, TimestampType
+
+    source = spark.readStream.schema(StructType([StructField("user_id", IntegerType()), StructField("ts", TimestampType())])).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "part*"))
+    stream = stream_sections(source, late="10 seconds").writeStream.outputMode("append").format("memory").queryName("late").start()
+    try:
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    got = {(r.k, r.side): r.n for r in spark.table("late").collect()}
+    assert got == {(0, "mid"): 2, (1, "left"): 1, (0, "right"): 1, (1, "mid"): 1, (4, "mid"): 3, (5, "left"): 3}
+    with pytest.raises(ValueError, match="longer"):
+        stream_sections(source, left_s=21)

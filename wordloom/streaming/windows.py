@@ -12,9 +12,12 @@ def stream_sections(events: DataFrame, *, ts: str = "ts", key: str = "user_id",
     """(key, k, side, n, first_ts, last_ts) of streamed or finished events: a word goes to its mid window and, by
     membership, to its neighbours' contexts before the aggregation, so one keyed state per section is all that is held.
 
-    k counts windows of ``mid_s`` from the epoch. Sections close when the watermark passes the end of their window; the
-    column window_end carries event time for that.
+    k counts windows of ``mid_s`` from the epoch. A section closes when the watermark passes the end of the window in
+    which its words lie, so a right context closes with the window that it is the beginning of. Words later than
+    ``late`` behind the newest are left out. Contexts may be no longer than ``mid_s``.
     """
+    if max(left_s, right_s) > mid_s:
+        raise ValueError("a context is longer than its window")
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     spread = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).select(F.col(key).alias(key), F.col(ts).alias(ts), F.explode(memberships(micros, left_s * 1_000_000, mid_s * 1_000_000, right_s * 1_000_000)).alias("m"))
     rows = spread.select(key, ts, F.window(ts, f"{mid_s} seconds").alias("own"), "m.k", "m.side")
