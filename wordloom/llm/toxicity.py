@@ -296,8 +296,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPL
     admitted = docs.where(learned_from(F.col("id")))
     known = labels.where(F.col("label").isNotNull() & learned_from(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     # The sample of labels is bounded, so it goes to the texts and no text is shuffled.
-    labelled = admitted.join(F.broadcast(_sample(known, sample_rows)), "id").select("id", "text", "label")
-    rest = _sample(admitted, sample_rows).select("id", "text", F.lit(None).cast("int").alias("label"))
+    sampled = _sample(known, sample_rows)
+    labelled = admitted.join(F.broadcast(sampled), "id").select("id", "text", "label")
+    others = admitted.join(F.broadcast(sampled.select("id")), "id", "left_anti")
+    rest = _sample(others, sample_rows).select("id", "text", F.lit(None).cast("int").alias("label"))
     found = mined_words(labelled)
     lexicon = Lexicon.of(found.strong, found.features, found.refuted)
 
