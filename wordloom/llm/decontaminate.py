@@ -20,8 +20,8 @@ from .word_hash import Spans
 #: Words of the test items that one pass over the documents looks for; more items take more passes.
 BLOCK_WORDS = 1_000_000
 SHORTEST, LONGEST = 3, 8
-#: A seed may be expected to occur so often by chance in all documents.
-CHANCE = 0.01
+#: A seed may be expected by chance at so many of the words of the documents, however many these are.
+CHANCE = 1e-8
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.4
 SLICE = 6 << 20
@@ -77,21 +77,28 @@ class Seeds:
 
     @classmethod
     def of(cls, items: Items, counts: dict[int, int], total: int) -> Seeds:
-        """From each word of an item on, the shortest n-gram that chance would put into the documents less than
-        ``CHANCE`` times, were their words independent; none where even the longest is not so rare."""
+        """From each word of an item on, the shortest n-gram that chance would put at less than ``CHANCE`` of the
+        documents' words, were these independent. An item without any takes its n-grams of ``LONGEST`` words, or all its
+        words if they are fewer, however frequent."""
         log_p = np.array([math.log(max(1, counts.get(int(h), 0)) / max(1, total)) for h in items.hashes])
         sums = np.concatenate(([0.0], np.cumsum(log_p)))
-        limit = math.log(CHANCE / max(1, total))
+        limit = math.log(CHANCE)
         spans = object.__new__(Spans)
         spans.first, spans.hashes = items.first, items.hashes
         spans._sums, spans._back = _prefix(items.hashes)
-        out: dict[int, tuple] = {}
         owner = np.repeat(np.arange(len(items.ids)), np.diff(items.first))
-        open_ = np.ones(len(items.hashes), bool)
+        open_, seeded = np.ones(len(items.hashes), bool), np.zeros(len(items.ids), bool)
+        chosen = {}
         for n in range(SHORTEST, LONGEST + 1):
             at = spans.starts(n)
-            at = at[open_[at] & (sums[at + n] - sums[at] <= limit)]
-            open_[at] = False
+            chosen[n] = at[open_[at] & (sums[at + n] - sums[at] <= limit)]
+            open_[chosen[n]] = False
+            seeded[owner[chosen[n]]] = True
+        longest = np.minimum(np.diff(items.first), LONGEST)
+        out: dict[int, tuple] = {}
+        for n, rare in chosen.items():
+            at = spans.starts(n)
+            at = np.union1d(rare, at[~seeded[owner[at]] & (longest[owner[at]] == n)])
             h = spans.span(at, n)
             order = np.argsort(h, kind="stable")
             out[n] = h[order], owner[at][order], (at - items.first[owner[at]])[order]
@@ -191,8 +198,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
     score is the best local alignment of the item's words, case and punctuation aside, in the whole
     document, as a share of a full match; pairs below ``least`` are left out. Word frequencies, which
-    decide the seeds, cover all documents. Items without a rare n-gram of 3 to 8 words, among them those
-    of fewer than 3 words, and null or empty items and texts find nothing. Repeated document rows come out once each, null
+    decide the seeds, cover all documents. Items without a rare n-gram of 3 to 8 words are looked for by
+    their frequent ones of 8, or whole if shorter; items of fewer than 3 words, and null or empty items and texts, find nothing. Repeated document rows come out once each, null
     ids are kept, a repeated item id may come out twice. Empty tables give an empty result; other
     columns are not read.
 
