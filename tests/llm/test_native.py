@@ -43,7 +43,7 @@ URLS = [None, "", "no scheme", "http://a.net", "http://a.net/", "HTTP://WWW.A.NE
 def test_urls(spark):
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(URLS)] + [(None, URLS[6], "h", "r"), (6, URLS[6], "h", "r")], "page_id long, url string, host string, rule string")
     block, allow = [r for r, a in RULES.items() if a == "block"], [r for r, a in RULES.items() if a == "allow"]
-    for bits in (1 << 20, 1):  # cascades, then the joins beyond their bound
+    for bits in (1 << 20, 1):  # one cascade a list, then cascades over parts of the keys
         got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in judge_urls(pages, block, allow, max_bits=bits).collect()), key=repr)
         want = [(i, *plain.judged(u, RULES)) for i, u in enumerate(URLS)] + [(None, *plain.judged(URLS[6], RULES)), (6, *plain.judged(URLS[6], RULES))]
         assert got == sorted(want, key=repr)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .native import UPPER, let
 
-#: One level may hold so many bits (1 MB); above it ``BloomCascade.build`` refuses, and ``keep_listed`` joins.
+#: One level may hold so many bits (1 MB); above it ``BloomCascade.build`` refuses, and keys are dealt over more cascades.
 MAX_BITS = 1 << 23
+MOST_PARTS = 4096
 
 
 @dataclass(frozen=True)
@@ -84,6 +85,35 @@ class BloomCascade:
             rest.unpersist()
 
 
+@dataclass(frozen=True)
+class CascadeSet:
+    """Cascades over parts of the keys by a hash: as many as keep every level within its bound, one for most lists."""
+
+    parts: tuple[BloomCascade, ...]
+
+    @staticmethod
+    def part(key: Column, n: int) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(n)).cast("int")
+
+    def contains(self, key: Column) -> Column:
+        answer = self.parts[0].contains(key)
+        for i, cascade in enumerate(self.parts[1:], 1):
+            answer = F.when(self.part(key, len(self.parts)) == i, cascade.contains(key)).otherwise(answer)
+        return answer
+
+    @classmethod
+    def build(cls, listed: DataFrame, universe: DataFrame, *, max_bits: int = MAX_BITS) -> CascadeSet:
+        """As ``BloomCascade.build``, with a scan of the universe for each part; parts double until all levels fit."""
+        n, key = 1, F.col("key")
+        while True:
+            try:
+                return cls(tuple(BloomCascade.build(listed.where(cls.part(key, n) == i), universe.where(cls.part(key, n) == i), max_bits=max(64, max_bits)) for i in range(n)))
+            except OverflowError:
+                if 2 * n > MOST_PARTS:
+                    raise
+                n *= 2
+
+
 def _bits(n: int, rate: float) -> int:
     return max(64, 64 * math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64))
 
@@ -130,8 +160,8 @@ def judge_urls(pages: DataFrame, block: list[str], allow: list[str], *, id_col:
     an unlisted key: allow. Null urls, and urls without ``://``, have an empty host and path, so no
     rule fits. Repeated rows, null ids and empty tables pass through; other columns are not read.
 
-    Two cascades, one per action, over the candidate keys of all urls. If a list is too long for
-    ``max_bits`` the rules are joined instead, which is exact too.
+    Two cascades, one per action, over the candidate keys of all urls. A list too long for filters of
+    ``max_bits`` is dealt over several cascades by a hash of the key; there is no join at any length.
     """
     spark = pages.sparkSession
     rules = {**{r: "allow" for r in allow}, **{r: "block" for r in block}}
@@ -139,23 +169,12 @@ def judge_urls(pages: DataFrame, block: list[str], allow: list[str], *, id_col:
     parts = pages.select(F.col(id_col).alias("id"), host_and_path(F.col(url_col)).alias("u"))
     keyed = parts.select("id", "u", candidate_keys(F.col("u.host"), F.col("u.path"), lengths).alias("keys")) if rules else parts.withColumn("keys", F.array().cast("array<string>"))
     universe = keyed.select(F.explode("keys").alias("key"))
-    try:
-        blocks, allows = (BloomCascade.build(_list(spark, [r for r, a in rules.items() if a == action]), universe, max_bits=max_bits) for action in ("block", "allow"))
-    except OverflowError:
-        fitting = _joined(keyed, spark.createDataFrame(list(rules.items()), "key string, action string"))
-    else:
-        labelled = F.transform("keys", lambda k: F.struct(k.alias("key"), F.when(blocks.contains(k), "block").when(allows.contains(k), "allow").alias("action")))
-        fitting = keyed.select("id", "u", F.filter(labelled, lambda x: x["action"].isNotNull()).alias("fits"))
+    blocks, allows = (CascadeSet.build(_list(spark, [r for r, a in rules.items() if a == action]), universe, max_bits=max_bits) for action in ("block", "allow"))
+    labelled = F.transform("keys", lambda k: F.struct(k.alias("key"), F.when(blocks.contains(k), "block").when(allows.contains(k), "allow").alias("action")))
+    fitting = keyed.select("id", "u", F.filter(labelled, lambda x: x["action"].isNotNull()).alias("fits"))
     longest = F.aggregate(F.col("fits"), F.lit(None).cast("struct<key:string,action:string>"), lambda a, x: F.when(a.isNull() | (F.length(x["key"]) > F.length(a["key"])), x).otherwise(a))
     return fitting.select("id", "u", longest.alias("best")).select(F.col("id").alias(id_col), F.col("u.host").alias("host"), F.col("u.path").alias("path"), F.col("best.key").alias("rule"), F.coalesce("best.action", F.lit("allow")).alias("verdict"))
 
 
 def _list(spark: SparkSession, rules: list[str]) -> DataFrame:
     return spark.createDataFrame([(r,) for r in rules], "key string")
-
-
-def _joined(keyed: DataFrame, rules: DataFrame) -> DataFrame:
-    """The way beyond ``max_bits``: candidate keys meet the rules in an equi-join, gathered per distinct host and path."""
-    urls = keyed.select("u", "keys").distinct()
-    fits = urls.select("u", F.explode("keys").alias("key")).join(rules, "key").groupBy("u").agg(F.collect_set(F.struct("key", "action")).alias("fits"))
-    return keyed.select("id", "u").join(fits, "u", "left").withColumn("fits", F.coalesce("fits", F.array().cast("array<struct<key:string,action:string>>")))
