@@ -20,6 +20,8 @@ from .tokens import END_ID, WordEncoder, slices
 GROUP_PIECES = 30_000
 #: Bins below this share of the capacity meet in another round, across groups.
 FULL_SHARE = 0.995
+#: Rounds at most; what is loose after the last one stays in its bins. The number is part of sequence ids.
+ROUNDS = 100
 
 
 # ---- one group -------------------------------------------------------------------------------------------------------
@@ -180,11 +182,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, id_
     left = scratch.keep(cut_pieces(docs, tokenizer, capacity, id_col=id_col, text_col=text_col, end_id=end_id), "pieces")
     done: DataFrame | None = None
     groups = max(1, -(-left.count() // group_pieces))
-    for round_ in range(64):
+    for round_ in range(ROUNDS):
         packed = scratch.keep(_packed(left, groups, round_, capacity), f"round{round_}")
         loose = packed.where(F.col("fill") < int(capacity * FULL_SHARE))
         fewer = max(1, -(-loose.count() // group_pieces)) if groups > 1 else groups
-        last = fewer >= groups
+        last = fewer >= groups or round_ + 1 == ROUNDS
         kept = packed if last else packed.where(F.col("fill") >= int(capacity * FULL_SHARE))
         done = kept if done is None else done.unionByName(kept)
         if last:
