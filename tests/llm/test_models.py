@@ -1,11 +1,13 @@
 """Toxicity and language identification, by held-out accuracy and on odd inputs."""
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.llm.language_id import ORDER, KneserNey, _ngrams, fit_languages, identify_language
+from wordloom.llm.language_id import ORDER, Grams, KneserNey, _ngrams, fit_languages, identify_language, keys_of, summed
 from wordloom.llm.toxicity import CLEAN, SILENT, TOXIC, LabelModel, drop_toxic, learned_from, score_toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -77,28 +79,74 @@ def test_models_hold_every_ngram(spark):
     rows = [(i, "aa", " ".join(words[i::60])) for i in range(60)]
     docs = spark.createDataFrame(rows, "id long, lang string, text string")
     learned = [t for (t,) in docs.where(learned_from(F.col("id"))).select("text").collect()]
-    grams, counts = np.unique(_ngrams(" ".join(learned).split())[1], return_counts=True)
+    grams, counts = counted(" ".join(learned).split())
     assert len(grams) > 130_000
     want, got = KneserNey.fit(grams, counts), fit_languages(docs).models[0]
     for name in ("grams", "shares", "contexts", "lefts"):
         assert all(np.array_equal(x, y) for x, y in zip(getattr(want, name), getattr(got, name), strict=True))
 
 
-def test_kneser_ney_sums_to_one():
-    _, codes = _ngrams(["abab", "abba", "baab", "cab"])
-    grams, counts = np.unique(codes, return_counts=True)
-    model = KneserNey.fit(grams, counts)
-    letters = np.unique(codes & 4095)
-    for context in np.unique(codes >> 12):
-        mass = np.exp(model.log_p((context << 12) | letters)).sum()
-        assert 0.9 < mass <= 1 + 1e-9
+def counted(words):
+    grams = _ngrams(words)[1]
+    return summed(grams, np.ones(len(grams)))
+
+
+WORDS = "abab abba baab cab abc ca ab ab 一帀 一b ۡabcab bca cabba abab".split()
+
+
+def plain_p(words, context, letter):
+    """Interpolated Kneser-Ney by its definition: words padded with 0, ended by 1."""
+    grams = Counter()
+    for w in words:
+        points = [0] * 4 + [ord(c) for c in w] + [1]
+        grams.update(tuple(points[i : i + 5]) for i in range(len(points) - 4))
+    tables = {5: grams}
+    for n in (4, 3, 2, 1):
+        tables[n] = Counter(g[1:] for g in tables[n + 1])
+    p = 1 / (len(tables[1]) + 1)
+    for n in range(1, 6):
+        table, head = tables[n], (context + (letter,))[-n:][:-1]
+        ones, twos = sum(c == 1 for c in table.values()), sum(c == 2 for c in table.values())
+        discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+        own = [c for g, c in table.items() if g[:-1] == head]
+        if own:
+            p = max(table[head + (letter,)] - discount, 0) / sum(own) * (head + (letter,) in table) + discount * len(own) / sum(own) * p
+    return p
+
+
+def gram_of(context, letter):
+    codes = [*context, letter]
+    pack = lambda part: sum(c << 21 * i for i, c in enumerate(reversed(part)))
+    return Grams(np.array([pack(codes[:2])]), np.array([pack(codes[2:])]))
+
+
+def test_kneser_ney_matches_plain_and_sums_to_one():
+    model = KneserNey.fit(*counted(WORDS))
+    letters = sorted({ord(c) for w in WORDS for c in w}) + [1, ord("?")]
+    contexts = {tuple(([0] * 4 + [ord(c) for c in w])[i : i + 4]) for w in WORDS for i in range(len(w) + 1)} | {(0, 0, 0, 120), (97, 98, 99, 100)}
+    for context in contexts:
+        got = np.array([np.exp(model.log_p(keys_of(gram_of(context, x))))[0] for x in letters])
+        assert np.allclose(got, [plain_p(WORDS, context, x) for x in letters], rtol=1e-5)
+        assert abs(got.sum() - 1) < 1e-5
     assert ORDER == 5
 
 
+def test_letters_of_other_scripts(spark):
+    """Letters that share their low bits are told apart, and a script that nobody learned is no sure guess."""
+    rng = np.random.default_rng(3)
+    text = lambda first, n: " ".join("".join(chr(first + int(c)) for c in rng.integers(0, 8, 5)) for _ in range(n))
+    rows = [(i, lang, text(first, 40)) for i in range(0, 600, 2) for lang, first in (("one", 0x4E00), ("two", 0x5E00))]
+    asked = [(10_001, None, text(0x4E00, 9)), (10_003, None, text(0x5E00, 9)), (10_005, None, text(0x1041, 9)), (10_007, None, text(0xAC00, 40))]
+    docs = spark.createDataFrame([(i + (lang == "two"), lang, t) for i, lang, t in rows] + asked, "doc_id long, lang string, text string")
+    got = {r.doc_id: r for r in identify_language(docs).where("doc_id > 10000").collect()}
+    assert (got[10_001].lang_pred, got[10_003].lang_pred) == ("one", "two") and got[10_001].score > 0.9 and got[10_001].accepted
+    assert all(got[i].score < 0.1 and not got[i].accepted for i in (10_005, 10_007))
+
+
 @pytest.mark.parametrize("text", ["", None, "  ", "x" * 100_000])
 def test_ngrams_of_odd_words(text):
     from wordloom.llm.language_id import LanguageModel
 
-    model = LanguageModel(["a"], [KneserNey.fit(*np.unique(_ngrams(["ab", "ba"])[1], return_counts=True))])
+    model = LanguageModel(["a"], [KneserNey.fit(*counted(["ab", "ba"]))])
     langs, score, accepted, entropy = model.predict(pa.array([text], pa.string()))
     assert len(langs) == len(score) == len(accepted) == len(entropy) == 1

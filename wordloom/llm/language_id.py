@@ -2,7 +2,9 @@
 
 A model predicts each letter of a word, and its end, from the ``ORDER`` - 1 characters before it inside
 the word. Counts of the longest n-grams are gathered from every training text; the shorter orders hold
-Kneser-Ney continuation counts. All tables are sorted arrays of packed n-grams, searched by bisection.
+Kneser-Ney continuation counts, and below the shortest lies one uniform share, the same for all languages,
+over the letters of all of them and one for any other letter. An n-gram is counted as its whole code points;
+tables are sorted arrays of 64-bit hashes, searched by bisection.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from pyspark.sql import types as T
 
 from .tokens import slices, split_words
 from .toxicity import learned_from
+from .word_hash import mix
 
 ORDER = 5
-#: Characters are code points modulo 4096, so five fit one integer; 0 pads before a word, 1 ends it.
-BITS = 12
-#: Texts that calibrate rejection, about so many at most.
-CALIBRATION_ROWS = 20_000
+#: Bits of a code point. Of an n-gram's characters the last three stand in one integer, the others in a second.
+BITS, LOW = 21, 3
+LETTER = (1 << BITS) - 1
+#: One in so many training texts sets the limits of rejection and is not counted, in languages of more than ``FEW`` texts.
+HELD_BACK, FEW = 16, 64
 #: Letters beyond which a text counts as no surer.
 SURE_LETTERS = 20
 UNKNOWN = "und"
@@ -35,21 +39,48 @@ def letters_only(words: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_lower(words), r"[^\p{L}]+", "")
 
 
-def _ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(first n-gram of each word and the end, packed n-grams): one for each letter and one for the end of a word."""
+@dataclass
+class Grams:
+    """N-grams by their characters: low holds the last three, high those before; 0 pads before a word, 1 ends it."""
+
+    high: np.ndarray
+    low: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def __getitem__(self, which: np.ndarray) -> Grams:
+        return Grams(self.high[which], self.low[which])
+
+    def last(self, n: int) -> Grams:
+        """Their last n characters."""
+        if n <= LOW:
+            return Grams(np.zeros_like(self.high), self.low & ((1 << BITS * n) - 1))
+        return Grams(self.high & ((1 << BITS * (n - LOW)) - 1), self.low)
+
+    def context(self, n: int) -> Grams:
+        """What stands before the last character of n-grams."""
+        return Grams(self.high >> BITS, (self.low >> BITS) | ((self.high & LETTER) << (2 * BITS))).last(n - 1)
+
+    def keys(self) -> np.ndarray:
+        return mix(self.low.astype(np.uint64) ^ mix(self.high.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _ngrams(words: list[str]) -> tuple[np.ndarray, Grams]:
+    """(first n-gram of each word and the end, n-grams): one for each letter and one for the end of a word."""
     size = np.fromiter(map(len, words), np.int64, len(words))
-    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) % (1 << BITS)
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     bounds = np.concatenate(([0], np.cumsum(size + 1)))
     chars = np.ones(int(bounds[-1]), np.int64)
     inside = np.ones(len(chars), bool)
     inside[bounds[1:] - 1] = False
     chars[inside] = np.maximum(points, 2)
     place = np.arange(len(chars)) - np.repeat(bounds[:-1], size + 1)
-    codes = chars.copy()
+    halves = [np.zeros(len(chars), np.int64), chars.copy()]
     for back in range(1, ORDER):
         shifted = np.concatenate((np.zeros(min(back, len(chars)), np.int64), chars[: max(0, len(chars) - back)]))
-        codes |= np.where(place >= back, shifted, 0) << (BITS * back)
-    return bounds, codes
+        halves[back < LOW] |= np.where(place >= back, shifted, 0) << (BITS * (back % LOW))
+    return bounds, Grams(*halves)
 
 
 class _Words:
@@ -64,15 +95,43 @@ class _Words:
         self.full = np.fromiter(map(bool, self.words), bool, len(self.words))
 
 
+@dataclass
+class _Counts:
+    """Counts of n-grams that grow: new ones are kept apart until there are as many as there are old ones."""
+
+    grams: Grams
+    n: np.ndarray
+    waiting: list[tuple[Grams, np.ndarray]]
+    held: int = 0
+
+    def add(self, grams: Grams, n: np.ndarray) -> None:
+        self.waiting.append((grams, n))
+        self.held += len(n)
+        if self.held > max(len(self.n), 1 << 18):
+            self.settle()
+
+    def settle(self) -> None:
+        parts = [(self.grams, self.n), *self.waiting]
+        self.grams, self.n = summed(Grams(*[np.concatenate([getattr(g, c) for g, _ in parts]) for c in ("high", "low")]), np.concatenate([n for _, n in parts]))
+        self.waiting, self.held = [], 0
+
+
+def summed(grams: Grams, n: np.ndarray) -> tuple[Grams, np.ndarray]:
+    """Distinct n-grams and the sums of their numbers."""
+    _, one, where = np.unique(grams.keys(), return_index=True, return_inverse=True)
+    return grams[one], np.bincount(where, n, len(one)).astype(np.int64)
+
+
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) of (lang, text): a task adds up its whole partition before it emits."""
+    """(lang, high, low, n) of (lang, text): a task adds up its whole partition before it emits."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[str, _Counts] = {}
+        none = np.empty(0, np.int64)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 words = _Words(part.column("text"))
-                bounds, codes = _ngrams(words.words)
+                bounds, grams = _ngrams(words.words)
                 sizes = np.diff(bounds)
                 langs = part.column("lang").dictionary_encode()
                 owner = np.repeat(langs.indices.to_numpy(), np.diff(words.first))
@@ -80,18 +139,12 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
                     times = np.bincount(words.which[owner == k], minlength=len(words.words)) * words.full
                     weight = np.repeat(times, sizes)
                     used = weight > 0
-                    held[lang] = _added(held.get(lang), codes[used], weight[used])
-        for lang, (grams, n) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
-
-    return docs.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
+                    held.setdefault(lang, _Counts(Grams(none, none), none, [])).add(*summed(grams[used], weight[used]))
+        for lang, counts in held.items():
+            counts.settle()
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts.n), pa.string()), pa.array(counts.grams.high), pa.array(counts.grams.low), pa.array(counts.n)], ["lang", "high", "low", "n"])
 
-def _added(held: tuple[np.ndarray, np.ndarray] | None, grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if held is not None:
-        grams, n = np.concatenate((held[0], grams)), np.concatenate((held[1], n))
-    unique, where = np.unique(grams, return_inverse=True)
-    return unique, np.bincount(where, n, len(unique)).astype(np.int64)
+    return docs.select("lang", "text").mapInArrow(count, "lang string, high long, low long, n long").groupBy("lang", "high", "low").agg(F.sum("n").alias("n"))
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -110,42 +163,43 @@ class KneserNey:
     shares: list[np.ndarray]
     contexts: list[np.ndarray]
     lefts: list[np.ndarray]
-    uniform: float
+    uniform: float = 0.0
 
     @classmethod
-    def fit(cls, grams: np.ndarray, counts: np.ndarray) -> KneserNey:
-        order = np.argsort(grams)
-        grams, counts = grams[order], counts[order].astype(float)
-        tables = []
+    def fit(cls, grams: Grams, counts: np.ndarray, letters: int | None = None) -> KneserNey:
+        """letters is the number of letters, the end among them, that all models know; one more stands for all others."""
+        counts, tables = counts.astype(float), []
         for n in range(ORDER, 0, -1):
             ones, twos = (counts == 1).sum(), (counts == 2).sum()
             discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-            heads, where = np.unique(context_of(grams, n), return_inverse=True)
+            heads, where = np.unique(grams.context(n).keys(), return_inverse=True)
             total = np.bincount(where, counts, len(heads))
             kinds = np.bincount(where, minlength=len(heads))
-            tables.append((grams, ((counts - discount) / total[where]).astype(np.float32), heads, (discount * kinds / total).astype(np.float32)))
+            keys = grams.keys()
+            order = np.argsort(keys)
+            tables.append((keys[order], ((counts - discount) / total[where]).astype(np.float32)[order], heads, (discount * kinds / total).astype(np.float32)))
             # The order below counts in how many contexts an n-gram goes on, not how often.
-            lower = grams & ((1 << BITS * (n - 1)) - 1)
-            grams, counts = np.unique(lower, return_counts=True)
-            counts = counts.astype(float)
+            if n > 1:
+                grams, counts = summed(grams.last(n - 1), np.ones(len(grams)))
+                counts = counts.astype(float)
         tables.reverse()
-        letters = max(2, len(tables[0][0]) + 1)
-        return cls(*[[t[i] for t in tables] for i in range(4)], 1 / (letters * 2))
-
-    def log_p(self, codes: np.ndarray) -> np.ndarray:
-        p = np.full(len(codes), self.uniform)
-        for n in range(1, ORDER + 1):
-            gram = codes & ((1 << BITS * n) - 1)
-            at, context = _find(self.grams[n - 1], gram), _find(self.contexts[n - 1], context_of(gram, n))
-            share = np.where(at >= 0, self.shares[n - 1][at], 0.0)
-            left = np.where(context >= 0, self.lefts[n - 1][context], 1.0)
+        known = len(tables[0][0]) if letters is None else letters
+        return cls(*[[t[i] for t in tables] for i in range(4)], 1 / (known + 1))
+
+    def log_p(self, keys: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of n-grams given by ``keys_of``."""
+        p = np.full(len(keys[0][0]), self.uniform)
+        for i, (gram, context) in enumerate(keys):
+            at, head = _find(self.grams[i], gram), _find(self.contexts[i], context)
+            share = np.where(at >= 0, self.shares[i][at], 0.0)
+            left = np.where(head >= 0, self.lefts[i][head], 1.0)
             p = share + left * p
         return np.log(p)
 
 
-def context_of(grams: np.ndarray, n: int) -> np.ndarray:
-    """What stands before the last character of n-grams."""
-    return (grams >> BITS) & ((1 << BITS * (n - 1)) - 1)
+def keys_of(grams: Grams) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By order, the hashes of n-grams and of their contexts, for all models alike."""
+    return [(grams.last(n).keys(), grams.context(n).keys()) for n in range(1, ORDER + 1)]
 
 
 @dataclass
@@ -158,14 +212,15 @@ class LanguageModel:
     def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(cross-entropy of each text under each language, predicted characters of each text)."""
         words = _Words(texts)
-        bounds, codes = _ngrams(words.words)
-        unique, where = np.unique(codes, return_inverse=True)
+        bounds, grams = _ngrams(words.words)
+        _, one, where = np.unique(grams.keys(), return_index=True, return_inverse=True)
+        keys = keys_of(grams[one])
         sizes = np.diff(bounds)
         n_texts = len(words.first) - 1
         length = _sums((sizes * words.full)[words.which], words.first)
         entropy = np.zeros((n_texts, len(self.models)))
         for k, model in enumerate(self.models):
-            per_word = _sums(model.log_p(unique)[where], bounds) * words.full
+            per_word = _sums(model.log_p(keys)[where], bounds) * words.full
             entropy[:, k] = -_sums(per_word[words.which], words.first) / np.maximum(length, 1)
         return entropy, length
 
@@ -176,11 +231,14 @@ class LanguageModel:
             return [UNKNOWN] * len(length), np.zeros(len(length)), np.zeros(len(length), bool), np.zeros(len(length))
         best = entropy.argmin(axis=1)
         least = entropy[np.arange(len(best)), best]
-        weight = np.exp(-(entropy - least[:, None]) * np.minimum(length, SURE_LETTERS)[:, None])
+        sure = np.clip(length, 1, SURE_LETTERS)
+        weight = np.exp(-(entropy - least[:, None]) * sure[:, None])
         known = length > 0
         limits = np.full(len(self.langs), np.inf) if self.limits is None else self.limits
+        # Beside the languages stands none of them, at the limit of the best one.
+        none = np.exp(np.minimum((least - limits[best]) * sure, 500.0))
         langs = [self.langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())]
-        return langs, np.where(known, 1 / weight.sum(axis=1), 0.0), known & (least <= limits[best]), np.where(known, least, 0.0)
+        return langs, np.where(known, 1 / (weight.sum(axis=1) + none), 0.0), known & (least <= limits[best]), np.where(known, least, 0.0)
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -188,20 +246,23 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
-def fit_languages(docs: DataFrame, *, calibration_rows: int = CALIBRATION_ROWS, accept: float = 0.999) -> LanguageModel:
-    """docs (id, lang, text). Counts cover every row that ``learned_from`` admits and whose lang is not null; the
-    rejection limits, one quantile per language, come from about ``calibration_rows`` of them."""
+def fit_languages(docs: DataFrame, *, held_back: int = HELD_BACK, few: int = FEW, accept: float = 0.999) -> LanguageModel:
+    """docs (id, lang, text). Every row that ``learned_from`` admits and whose lang is not null is counted, but for one
+    in ``held_back`` by a hash of the id, in languages of more than ``few`` such rows: these set the rejection
+    limits, a quantile of their cross-entropies for each language. Smaller languages have no limit."""
     training = docs.where(learned_from(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = count_ngrams(training).persist()
+    large = [r["lang"] for r in training.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few).collect()]
+    held = F.col("lang").isin(large) & (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(held_back)) == 0)
+    counts = count_ngrams(training.where(~held)).persist()
     model = LanguageModel(sorted(r["lang"] for r in counts.select("lang").distinct().collect()), [])
+    letters = counts.agg(F.count_distinct(F.col("low").bitwiseAND(LETTER))).first()[0]
     for name in model.langs:
-        table = counts.where(F.col("lang") == name).select("gram", "n").toArrow()
-        model.models.append(KneserNey.fit(table.column("gram").to_numpy(), table.column("n").to_numpy()))
+        table = counts.where(F.col("lang") == name).select("high", "low", "n").toArrow()
+        high, low, n = (table.column(c).to_numpy() for c in ("high", "low", "n"))
+        model.models.append(KneserNey.fit(Grams(high, low), n, letters))
     counts.unpersist()
     if not model.models:
         return model
-    rows = training.count()
-    some = training if rows <= calibration_rows else training.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * calibration_rows / rows))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +270,7 @@ def fit_languages(docs: DataFrame, *, calibration_rows: int = CALIBRATION_ROWS,
                 langs, _, _, entropy = model.predict(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(langs), pa.array(entropy)], ["lang", "found", "entropy"])
 
-    measured = some.select("lang", "text").mapInArrow(measure, "lang string, found string, entropy double").where("lang = found").groupBy("lang").agg(F.percentile_approx("entropy", accept, 10_000).alias("q")).collect()
+    measured = training.where(held).select("lang", "text").mapInArrow(measure, "lang string, found string, entropy double").where("lang = found").groupBy("lang").agg(F.percentile_approx("entropy", accept, 10_000).alias("q")).collect()
     quantiles = {r["lang"]: r["q"] for r in measured}
     model.limits = np.array([1.05 * quantiles[x] if x in quantiles else np.inf for x in model.langs])
     return model
@@ -218,14 +279,14 @@ def fit_languages(docs: DataFrame, *, calibration_rows: int = CALIBRATION_ROWS,
 def identify_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Predict the language of every whole text: (id, held_out, lang_pred, score, accepted, cross_entropy).
 
-    score, 0 to 1, is the share of the best language if the cross-entropies are taken as evidence of up to
-    ``SURE_LETTERS`` letters. lang_pred is ``und``, with score 0, where text is null, empty or without a
+    score, 0 to 1, is the share of the best language, among all and none of them, if the cross-entropies are
+    taken as evidence of up to ``SURE_LETTERS`` letters; none of them stands at the best one's limit of rejection. lang_pred is ``und``, with score 0, where text is null, empty or without a
     letter, or where nothing could be learned. accepted is false for those and for texts that the best
-    language predicts worse than nearly all of its own training texts. Null ids are held out; repeated
+    language predicts worse than nearly all of its own texts held back. Null ids are held out; repeated
     rows come out once each; ties go to the first language by name; other columns are not read.
 
     Counting is one scan with partial sums per task, then an exchange of n-grams; scoring is a scan.
-    The models hold every n-gram of the training texts; the driver fits them one language at a time, and
+    The models hold every n-gram of the training texts as two numbers; the driver fits them one language at a time, and
     they go to the executors whole, so both need memory for the distinct n-grams, not for the texts.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
