@@ -43,14 +43,19 @@ def decompose(token: Column) -> Column:
     return F.struct(part(1).alias("otag"), part(2).alias("mid"), part(3).alias("ctag"), part(4).alias("punct"))
 
 
+def _tagless(token: Column) -> Column:
+    """The token without its final mark."""
+    return F.when(F.substring(token, -1, 1).isin(*MARKS), F.substr(token, F.lit(1), F.length(token) - 1)).otherwise(token)
+
+
 def bare(token: Column) -> Column:
-    """The token without tags and final mark."""
-    return F.regexp_extract(token, DECOMPOSED, 2)
+    """The token without tags and final mark. Only tokens with a bracket can have tags, and most have none."""
+    return F.when(token.contains("["), F.regexp_extract(token, DECOMPOSED, 2)).otherwise(_tagless(token))
 
 
 def untagged(token: Column) -> Column:
     """The token without tags."""
-    return F.concat(F.regexp_extract(token, DECOMPOSED, 2), F.regexp_extract(token, DECOMPOSED, 4))
+    return F.when(token.contains("["), F.concat(F.regexp_extract(token, DECOMPOSED, 2), F.regexp_extract(token, DECOMPOSED, 4))).otherwise(token)
 
 
 def final_mark(token: Column) -> Column:
@@ -74,7 +79,8 @@ def two_opening(token: Column) -> Column:
 
 def single_tag(token: Column) -> Column:
     """A tag alone, or a token of which tags and one mark leave nothing."""
-    return token.isin(*OPENING, *CLOSING) | (F.trim(bare(token)) == "")
+    tagged = token.isin(*OPENING, *CLOSING) | (F.trim(F.regexp_extract(token, DECOMPOSED, 2)) == "")
+    return F.when(token.contains("["), tagged).otherwise(F.trim(_tagless(token)) == "")
 
 
 def fix_double_tags(token: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import encode as E
 from ..operators import entities, evaluation, segments, selection, tags, windows
 from ..operators.entities import Tagger
+from ..session import Scratch
 from ..sources.transcripts import flattened
 
 
@@ -15,13 +16,14 @@ def build_chunks(parsed: DataFrame, *, left: int = windows.LEFT, mid: int = wind
     """Documents of chunks (filename, chunks) from parsed documents.
 
     Shuffles on the document, for offsets, entities and texts, and on document and window for the sections. Entities are
-    tagged once for each document. Documents without a chunk give no row.
+    tagged once for each document; token rows, which rules, leftovers and tags read, are written to the scratch folder
+    once. Documents without a chunk give no row.
     """
     docs = flattened(parsed)
     members = windows.window_members(windows.timed_words(docs), left, mid, right, strict=strict)
     chunks = windows.chunks(windows.sections(members))
     pairs = docs.select("doc", F.posexplode(F.arrays_zip("ntoks", "ptoks")).alias("pos", "t")).select("doc", "pos", F.col("t.ntoks").alias("ntok"), F.col("t.ptoks").alias("ptok"))
-    tokens = entities.with_offsets(pairs)
+    tokens = Scratch(parsed.sparkSession, "tokens").keep(entities.with_offsets(pairs), "rows")
     found = entities.tag_all(tokens, tagger)
     texts = segments.segment_texts(chunks, entities.embed_tags(tokens, found), found, keep_tail=keep_tail)
     numbered = windows.number_chunks(texts)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import encode as E
-from .functions import text as X
-from .operators import entities, evaluation, segments, selection, tags, windows
-from .queries import DOCS, RULE, SPACES, TOKENS, query, spoken, table, tokens, transcripts
+from .operators import entities, evaluation, segments, tags, windows
+from .queries import RULE, TOKENS, query, spoken, table, tokens, transcripts
+from .session import Scratch
 from .sources.transcripts import parse_aligned
 
 # ---- rules -----------------------------------------------------------------------------------------------------------
@@ -117,7 +117,7 @@ def aligned_entity_texts(spark, sf_dir):
 
 def spoken_segments(spark, sf_dir) -> DataFrame:
     """Chunks of whole transcripts, a spoken word a second, with their texts cut at the windows' boundaries."""
-    rows = spoken(tokens(transcripts(spark, sf_dir))).withColumn("ptok", F.concat("ptok", F.lit(" ")))
+    rows = Scratch(spark, "tokens").keep(spoken(tokens(transcripts(spark, sf_dir))).withColumn("ptok", F.concat("ptok", F.lit(" "))), "rows")
     found = entities.tag_all(rows)
     last = rows.groupBy("doc").agg(F.max("nend").cast("int").alias("n")).where("n > 0")
     words = last.select("doc", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx"))
