@@ -216,3 +216,30 @@ def test_stream_drops_late_rows(spark, tmp_path: Path):
     assert got == {(0, "mid"): 2, (1, "left"): 1, (0, "right"): 1, (1, "mid"): 1, (4, "mid"): 3, (5, "left"): 3}
     with pytest.raises(ValueError, match="longer"):
         stream_sections(source, left_s=21)
+
+
+def test_config_and_sinks(spark, tmp_path: Path):
+    from wordloom.plans.config import CorpusConfig, TrainingConfig
+
+    assert CorpusConfig.of({"mid": 1000}).mid == 1000 and TrainingConfig.of({"pad_to": 8}).padded(17) == 24
+    for cls, bad in ((CorpusConfig, {"mid": 0}), (CorpusConfig, {"wide": 1}), (TrainingConfig, {"smoothing": 1.0})):
+        with pytest.raises(ValueError):
+            cls.of(bad)
+    rows = spark.createDataFrame([("1", [0.5, 1.0]), ("2", [])], "chunk_id string, features array<double>")
+    T.write_features(rows, str(tmp_path / "features"))
+    chunks = spark.createDataFrame([("1",), ("3",)], "chunk_id string")
+    got = T.with_features(chunks, T.read_features(spark, str(tmp_path / "features"))).orderBy("chunk_id").collect()
+    assert [(r.chunk_id, r.features, r.has_features) for r in got] == [("1", [0.5, 1.0], True), ("3", None, False)]
+    log = spark.createDataFrame([(1, "loss", 2.5), (2, "loss", 1.5)], "step int, measure string, value double")
+    T.write_log(log, str(tmp_path / "log"), "a")
+    T.write_log(log, str(tmp_path / "log"), "b")
+    assert spark.read.parquet(str(tmp_path / "log")).groupBy("run").count().count() == 2
+
+
+def test_shuffled(spark):
+    rows = spark.range(100).select(F.col("id").alias("k"), F.lit("x").alias("before"))
+    one, same, other = (([r.k for r in selection.shuffled(rows, "k", s).collect()]) for s in (1, 1, 2))
+    assert one == same != other and sorted(one) == list(range(100))
+    batches = selection.whole_batches(rows.select("k"), "k", 1, 30).collect()
+    assert sorted(r.batch for r in batches) == sorted([0, 1, 2] * 30)
+    assert [r.k for r in sorted(batches, key=lambda r: one.index(r.k))][:30] != list(range(30))

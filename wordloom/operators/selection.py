@@ -47,6 +47,23 @@ def id_prefix(rows: DataFrame, key: str, digits: str) -> DataFrame:
     return rows.where(F.col(key).cast("string").rlike(f"^[{digits}]"))
 
 
+def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """rows in an order that the seed and the key alone decide; rows of one key stand together."""
+    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key)
+
+
+def whole_batches(rows: DataFrame, key: str, seed: int, size: int) -> DataFrame:
+    """Shuffled rows with batch, from 0; what does not fill a last batch is left out. Keys are distinct. Places are prefix
+    sums over ranges of the shuffled keys, not a sort in one task."""
+    from .windows import running_before
+
+    place = F.format_string("%016x", F.xxhash64(key, F.lit(seed)))
+    placed = rows.withColumn("_place", F.concat(place, F.lit(":"), F.col(key).cast("string")))
+    before = running_before(placed.select("_place", F.lit(1).alias("one")), "_place", "one")
+    total = rows.count()
+    return placed.join(before, "_place").withColumn("batch", F.floor(F.col("before") / size)).where(F.col("before") < total // size * size).drop("_place", "before")
+
+
 def flatten_chunks(docs: DataFrame) -> DataFrame:
     """A row for each chunk of documents of chunks (filename, chunks), with its times as one flat row."""
     c = docs.select(F.explode("chunks").alias("c")).select("c.*")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import encode as E
-from .operators import entities, evaluation, segments, tags, windows
+from .operators import entities, evaluation, segments, selection, tags, windows
 from .queries import RULE, TOKENS, query, spoken, table, tokens, transcripts
 from .session import Scratch
 from .sources.transcripts import parse_aligned
@@ -39,6 +39,33 @@ def rule_entities(spark, sf_dir):
     return found.select("doc", "label", "val", "puncted_start", "puncted_end", "nstart", "nend")
 
 
+def money_spans(rows: DataFrame) -> DataFrame:
+    """(doc, val, label, char_start, char_end) of every thirteenth token: a MONEY without its dollar sign, a PERCENT with a
+    space before its sign, and one in five that begins inside a token."""
+    ends = F.sum(F.length("ptok")).over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    n = F.expr("pos div 13")
+    start = ends - F.length("ptok") + F.when(n % 5 == 0, 2).when(n % 2 == 0, 1).otherwise(0)
+    found = rows.withColumns({"char_end": ends - 1, "char_start": start}).where("pos % 13 = 6")
+    return found.select("doc", F.when(n % 2 == 0, "15").otherwise("15 %").alias("val"), F.when(n % 2 == 0, "MONEY").otherwise("PERCENT").alias("label"), "char_start", "char_end")
+
+
+@query(f"WITH {TOKENS} SELECT doc, CASE WHEN (pos // 13) % 2 = 0 THEN '$15' ELSE '15%' END AS val, CASE WHEN (pos // 13) % 2 = 0 THEN 'MONEY' ELSE 'PERCENT' END AS label, CAST(pos AS INTEGER) AS puncted_start, CAST(pos + 1 AS INTEGER) AS puncted_end FROM t WHERE pos % 13 = 6 AND (pos // 13) % 5 <> 0")
+def span_entities(spark, sf_dir):
+    """Character spans of a model, on whole transcripts with an amount in the place of every thirteenth token."""
+    amount = F.when((F.col("pos") % 13 == 6) & (F.expr("pos div 13") % 2 == 0), "$15").when(F.col("pos") % 13 == 6, "15%").otherwise(F.col("tok"))
+    rows = tokens(transcripts(spark, sf_dir)).select("doc", "pos", F.concat(amount, F.lit(" ")).alias("ptok"))
+    texts = rows.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ptok"))), lambda x: x["ptok"]), "").alias("text"))
+    return entities.span_entities(entities.adjusted_spans(money_spans(rows), texts), rows)
+
+
+@query("WITH b AS (SELECT doc_id, n_chars FROM documents) SELECT count(*) // 64 AS batches, count(*) // 64 * 64 AS n, CAST(64 AS BIGINT) AS least, CAST(64 AS BIGINT) AS most FROM b")
+def shuffled_batches(spark, sf_dir):
+    """Whole batches of 64 in a seeded order: their number and sizes; which rows is the seed's matter."""
+    rows = selection.whole_batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 7, 64)
+    sizes = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.agg(F.count(F.lit(1)).alias("batches"), F.sum("size").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
+
+
 # ---- alignment -------------------------------------------------------------------------------------------------------
 
 

@@ -116,6 +116,17 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("chunk_id string, features array<float>").parquet(path)
 
 
+def write_features(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """(chunk_id, features array<float>) as Parquet, what ``read_features`` reads."""
+    rows.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("features").cast("array<float>").alias("features")).write.mode(mode).parquet(path)
+
+
+def write_log(rows: DataFrame, path: str, run: str) -> None:
+    """Training measures (step, measure, value) of a run, appended to a table of runs."""
+    columns = [F.col("step").cast("long").alias("step"), F.col("measure").cast("string").alias("measure"), F.col("value").cast("double").alias("value")]
+    rows.select(*columns, F.lit(run).alias("run")).write.mode("append").partitionBy("run").parquet(path)
+
+
 def with_features(rows: DataFrame, features: DataFrame) -> DataFrame:
     """Rows with their features, and whether there are any."""
     return rows.join(features, "chunk_id", "left").withColumn("has_features", F.col("features").isNotNull())
