@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import plain
-from wordloom.llm.license_scan import KNOWN_TEXTS, canonical, canonical_lines, digest, license_scan
+from wordloom.llm.license_scan import KNOWN_TEXTS, canonical, canonical_lines, digest, known_digests, license_scan, licenses_in
 from wordloom.llm.line_frequency import LineRules, line_frequency
 from wordloom.llm.url_cascade import BloomCascade, judge_urls
 
@@ -29,6 +29,18 @@ def test_notices_of_any_words(spark):
     assert {r.doc_id: r.notice_ids for r in license_scan(docs, own).collect()} == {1: [], 2: ["own"], 3: []}
 
 
+def test_licenses_of_a_folder(spark, tmp_path):
+    text = "Fair Licence, version 2.0\n\n  1. Usage of the works is permitted,\n  provided that this instrument is retained.\n"
+    (tmp_path / "Fair-2.0.txt").write_text(text)
+    (tmp_path / "Zebra").write_text(text.upper())
+    (tmp_path / "Other-1.md").write_text("Other words")
+    known = licenses_in(spark, str(tmp_path))
+    docs = spark.createDataFrame([(1, "// Copyright 2020 me\n" + " ".join(text.split())), (2, "x\nother, words!\ny")], "doc_id long, text string")
+    got = {r.doc_id: (r.license_id, r.notice_ids) for r in license_scan(docs, known.unionByName(known_digests(spark))).collect()}
+    assert got == {1: ("Fair-2.0", ["Fair-2.0"]), 2: (None, ["Other-1"])}
+    assert known.count() == 2
+
+
 def test_lines_of_one_pass_equal_single_lines(spark):
     text = "Sub\nLicence, sub  licence\r\n(c) 2020 me\r\n * Copyright 2020 you\nhttps\n://x\n\n  \nnon\tcommercial\u2028favour \r\u00a9 they\nAll rights reserved\nend per cent"
     got = spark.createDataFrame([(text,)], "text string").select(canonical_lines(F.col("text"))).first()[0]

@@ -53,6 +53,17 @@ def known_digests(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN_TEXT
     return table.select(digest(F.col("body")).alias("digest"), "license_id", "rank").groupBy("digest").agg(F.min_by("license_id", "rank").alias("license_id"))
 
 
+def licenses_in(spark: SparkSession, path: str) -> DataFrame:
+    """(digest, license_id) of a folder of licence texts, a file each, named by its id, such as a system's own collection.
+
+    An ending like .txt is no part of the id; the first id in order wins where two texts agree. For licences that the
+    built-in list has no whole text of; ``license_scan`` takes it, or its union with ``known_digests``, as ``known``.
+    """
+    name = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1), r"\.(txt|md)$", "")
+    files = spark.read.text(path, wholetext=True).select(name.alias("license_id"), digest(F.col("value")).alias("digest"))
+    return files.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+
+
 def license_scan(docs: DataFrame, known: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document the digest of its whole canonical text, the licence that has it, and the licences of its lines.
 
