@@ -11,6 +11,7 @@ word less). The graph is never written out edge by edge:
 3. At an anchor where paths differ the graph branches. Equal paths compact first, by a join on anchor
    and path; one of each kind is opened into its windows, at its source coordinates, and a window that
    lies in two kinds repeats.
+   Paths and windows are equal only if digests of the source words at their coordinates are, too.
 4. The coordinates of all repeated windows are gathered per document and joined to the text.
 """
 
@@ -23,11 +24,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import Scratch
+from .skew import join_keys
 from .tokens import ragged, slices, split_words
 from .word_hash import Spans
 
@@ -55,15 +58,25 @@ class Keyed:
 
     @classmethod
     def of(cls, docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> Keyed:
-        """With ``carry``, a column row holds the whole input row."""
+        """With ``carry``, a struct row holds the columns of the input by their places, but for the text, and missing
+        tells whether that is null."""
         text = F.coalesce(F.col(text_col), F.lit(""))
-        whole = [F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row")] if carry else []
+        fields = [F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]]
+        whole = [F.struct(*fields).alias("row"), F.col(text_col).isNull().alias("missing")] if carry else []
         return cls(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), *whole))
 
 
+def _digests(words: pa.Array, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A digest of the letters of each range of words, beside their span hashes, which tell where words end."""
+    _, offsets, letters = words.buffers()
+    at = np.frombuffer(offsets, np.int64)[words.offset :]
+    raw = memoryview(letters)
+    return np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(at[begin].tolist(), at[end].tolist())), np.uint64, len(begin))
+
+
 def anchored_paths(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, path, id, th, start, windows) of (id, th, text)."""
-    kind = T.StructType([*_fields("anchor", "path"), docs.schema["id"], *_fields("th", "start", "windows")])
+    """(anchor, path, source, id, th, start, windows) of (id, th, text); source is a digest of the words at the path's coordinates."""
+    kind = T.StructType([*_fields("anchor", "path", "source"), docs.schema["id"], *_fields("th", "start", "windows")])
     width = window - ANCHOR + 1
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,16 +93,16 @@ def anchored_paths(docs: DataFrame, window: int) -> DataFrame:
                 count = np.diff(np.append(head, len(at)))
                 start = at[head]
                 doc = spans.text_of(start)
-                yield pa.RecordBatch.from_arrays([_signed(marks[anchor[head]]), _signed(spans.span(start, count + window - 1)), part.column("id").take(pa.array(doc)), part.column("th").take(pa.array(doc)), pa.array(start - spans.first[doc]), pa.array(count)], kind.names)
+                yield pa.RecordBatch.from_arrays([_signed(marks[anchor[head]]), _signed(spans.span(start, count + window - 1)), _signed(_digests(spans.words, start, start + count + window - 1)), part.column("id").take(pa.array(doc)), part.column("th").take(pa.array(doc)), pa.array(start - spans.first[doc]), pa.array(count)], kind.names)
 
     return docs.mapInArrow(find, kind)
 
 
 def _opened(kinds: DataFrame, docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, hash, id, th, start, times) of each window of the given paths, read off the texts at their coordinates."""
+    """(anchor, hash, source, id, th, start, times) of each window of the given paths, read off the texts at their coordinates."""
     per_doc = kinds.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "start", "windows", "times")).alias("paths"))
     joined = _with_docs(docs, per_doc, "paths", "inner")
-    kind = T.StructType([*_fields("anchor", "hash"), docs.schema["id"], *_fields("th", "start", "times")])
+    kind = T.StructType([*_fields("anchor", "hash", "source"), docs.schema["id"], *_fields("th", "start", "times")])
 
     def open_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +115,8 @@ def _opened(kinds: DataFrame, docs: DataFrame, window: int) -> DataFrame:
                 which = np.repeat(np.arange(len(doc)), count)
                 inside = ragged(start, count).astype(np.int64)
                 doc = doc[which]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[which]), _signed(spans.span(spans.first[doc] + inside, window)), part.column("id").take(pa.array(doc)), part.column("th").take(pa.array(doc)), pa.array(inside), pa.array(times[which])], kind.names)
+                at = spans.first[doc] + inside
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[which]), _signed(spans.span(at, window)), _signed(_digests(spans.words, at, at + window)), part.column("id").take(pa.array(doc)), part.column("th").take(pa.array(doc)), pa.array(inside), pa.array(times[which])], kind.names)
 
     return joined.mapInArrow(open_paths, kind)
 
@@ -113,19 +127,23 @@ def _with_docs(docs: DataFrame, extra: DataFrame, column: str, how: str) -> Data
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
-    """(id, th, start, windows): runs of windows whose word sequence starts anywhere else too; runs may overlap."""
+    """(id, th, runs): per distinct row its runs of windows, (start, windows), whose word sequence starts anywhere else
+    too; runs may overlap. Rows that repeat have the same runs, which are gathered once."""
     paths = scratch.keep(anchored_paths(docs, window), "paths")
-    anchors = paths.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("path") != F.max("path")).alias("branches")).where("n > 1")
-    repeated = scratch.keep(paths.join(anchors.select("anchor", "branches"), "anchor"), "repeated")
+    anchors = scratch.keep(paths.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), ((F.min("path") != F.max("path")) | (F.min("source") != F.max("source"))).alias("branches")).where("n > 1"), "anchors")
+    repeated = scratch.keep(join_keys(paths, anchors, ["anchor"], "n").drop("n"), "repeated")
+    scratch.drop("paths", "anchors")
     plain = repeated.where(~F.col("branches")).select("id", "th", "start", "windows")
-    branching = repeated.where("branches")
-    kinds = branching.groupBy("anchor", "path").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "th", "start", "windows")).alias("one")).select("anchor", "path", "times", "one.*")
+    branching = repeated.where("branches").drop("branches")
+    path, edge = ["anchor", "path", "source"], ["anchor", "hash", "source"]
+    kinds = branching.groupBy(*path).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "th", "start", "windows")).alias("one")).select(*path, "times", "one.*")
     kinds = scratch.keep(kinds, "kinds")
-    equal = branching.join(kinds.where("times > 1").select("anchor", "path"), ["anchor", "path"], "left_semi").select("id", "th", "start", "windows")
+    equal = join_keys(branching, kinds.where("times > 1").select(*path, "times"), path, "times").select("id", "th", "start", "windows")
     opened = scratch.keep(_opened(kinds, docs, window), "opened")
-    shared = opened.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    single = opened.where("times = 1").join(shared.select("anchor", "hash"), ["anchor", "hash"], "left_semi").select("id", "th", "start", F.lit(1).cast("long").alias("windows"))
-    return plain.unionByName(equal).unionByName(single)
+    shared = scratch.keep(opened.groupBy(*edge).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    single = join_keys(opened.where("times = 1"), shared, edge, "n").select("id", "th", "start", F.lit(1).cast("long").alias("windows"))
+    runs = plain.unionByName(equal).unionByName(single).groupBy("id", "th").agg(F.collect_set(F.struct("start", "windows")).alias("runs"))
+    return scratch.result(runs, "substring-runs")
 
 
 def _covered(first: np.ndarray, n: int, lists: pa.Array, window: int) -> np.ndarray:
@@ -140,6 +158,29 @@ def _covered(first: np.ndarray, n: int, lists: pa.Array, window: int) -> np.ndar
     return np.cumsum(edge[:-1]) > 0
 
 
+class _Cut:
+    """What the runs of a batch of texts leave: gone by word, first word of each text, and the kept texts."""
+
+    def __init__(self, part: pa.RecordBatch, window: int):
+        self.first, words = split_words(part.column("text"))
+        self.gone = _covered(self.first, len(words), part.column("runs"), window)
+        kept_before = np.concatenate(([0], np.cumsum(~self.gone)))[self.first]
+        kept = pa.ListArray.from_arrays(pa.array(kept_before.astype(np.int32)), words.filter(pa.array(~self.gone)))
+        self.texts = pc.binary_join(kept, pa.scalar(" ", pa.large_string()))
+        self.n_words, self.n_kept = np.diff(self.first), np.diff(kept_before)
+
+    def spans(self) -> pa.Array:
+        """(start, length) of what went, in order, for each text."""
+        step = np.zeros(len(self.gone) + 1, bool)
+        step[self.first[:-1]] = True  # a span ends with its text
+        begins = np.flatnonzero(self.gone & (step[:-1] | ~np.concatenate(([False], self.gone[:-1]))))
+        stops = np.flatnonzero(self.gone & (np.append(step[1:-1], True)[: len(self.gone)] | ~np.concatenate((self.gone[1:], [False])))) + 1 if len(self.gone) else begins
+        owner = np.searchsorted(self.first, begins, side="right") - 1
+        counts = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(self.n_words)))))
+        parts = pa.StructArray.from_arrays([pa.array(begins - self.first[owner]), pa.array(stops - begins)], ["start", "length"])
+        return pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), parts)
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False) -> DataFrame:
     """Remove every word that a repeated window covers, windows being judged on the input.
 
@@ -147,17 +188,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     ``keep_text`` th (a hash of the input text), kept_text and spans (start and length of what went).
     Null and empty texts have no words. Rows that repeat, with or without their id, repeat each
     other's windows, so their text goes; null ids are kept. Empty input gives an empty result; other
-    columns are not read. Texts of any length are handled whole. Windows are told apart by two
-    64-bit hashes, the anchor's and their own.
+    columns are not read. Texts of any length are handled whole. Windows are told apart by
+    the hashes of their anchor and of their words, and by a digest of the source at their coordinates, 64 bits each.
 
-    Exchanges: paths on their anchor (partial counts first; the join back splits hot anchors), texts
+    Exchanges: paths on their anchor (partial counts first; hot anchors go to their paths instead), texts
     twice on the document key. A hot passage adds a row per document, and its windows are opened once.
+    Intermediate tables go as soon as the runs, which the result reads, are written.
     """
     if window <= ANCHOR:
         raise ValueError(f"a window has more than {ANCHOR} words")
     scratch = Scratch(docs.sparkSession, "substring")
     keyed = Keyed.of(docs, id_col, text_col).frame
-    runs = repeated_windows(keyed, scratch, window).groupBy("id", "th").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    runs = repeated_windows(keyed, scratch, window)
     kind = T.StructType([keyed.schema["id"], *_fields("n_words", "n_removed"), T.StructField("kept_sha256", T.StringType())])
     if keep_text:
         span = T.ArrayType(T.StructType(_fields("start", "length")))
@@ -166,26 +208,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                first, words = split_words(part.column("text"))
-                gone = _covered(first, len(words), part.column("runs"), window)
-                kept_before = np.concatenate(([0], np.cumsum(~gone)))[first]
-                kept = pa.ListArray.from_arrays(pa.array(kept_before.astype(np.int32)), words.filter(pa.array(~gone)))
-                texts = pc.binary_join(kept, pa.scalar(" ", pa.large_string()))
-                n_words, n_kept = np.diff(first), np.diff(kept_before)
-                digests = [hashlib.sha256(t.as_buffer() or b"").hexdigest() for t in texts.cast(pa.large_binary())]
-                columns = [part.column("id"), pa.array(n_words), pa.array(n_words - n_kept), pa.array(digests)]
+                found = _Cut(part, window)
+                digests = [hashlib.sha256(t.as_buffer() or b"").hexdigest() for t in found.texts.cast(pa.large_binary())]
+                columns = [part.column("id"), pa.array(found.n_words), pa.array(found.n_words - found.n_kept), pa.array(digests)]
                 if keep_text:
-                    bounds = np.concatenate(([False], gone, [False]))
-                    bounds = np.flatnonzero(bounds[1:] != bounds[:-1])
-                    begin = np.concatenate((bounds[::2], first[:-1][gone[np.minimum(first[:-1], max(0, len(gone) - 1))] & (n_words > 0)])) if len(gone) else bounds
-                    begin = np.unique(begin)
-                    ends = np.concatenate((bounds[1::2], first[1:]))
-                    ends.sort()
-                    end = ends[np.searchsorted(ends, begin, side="right")] if len(begin) else begin
-                    owner = np.searchsorted(first, begin, side="right") - 1
-                    counts = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=part.num_rows)))) if len(begin) else np.zeros(part.num_rows + 1, np.int64)
-                    spans = pa.StructArray.from_arrays([pa.array(begin - first[owner]), pa.array(end - begin)], ["start", "length"])
-                    columns += [part.column("th"), texts.cast(pa.string()), pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), spans)]
+                    columns += [part.column("th"), found.texts.cast(pa.string()), found.spans()]
                 yield pa.RecordBatch.from_arrays(columns, kind.names)
 
     return _with_docs(keyed, runs, "runs", "left").mapInArrow(cut, kind).withColumnRenamed("id", id_col)
@@ -195,29 +222,23 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """docs with the words of repeated windows cut out of the text, all rows and columns kept.
 
     A text that loses nothing is left as it is, nulls too; of others the kept words are joined by one
-    space, and where a column n_chars goes with the text it is counted again.
+    space, and where a column n_chars goes with the text it is counted again. Other columns may have any
+    names. What holds for ``remove_repeats`` of empty tables, null ids, repeated rows and long texts holds here.
     """
-    scratch = Scratch(docs.sparkSession, "substring")
-    plain = Keyed.of(docs, id_col, text_col).frame
-    runs = repeated_windows(plain, scratch, window).groupBy("id", "th").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
-    joined = _with_docs(Keyed.of(docs.withColumn("_missing", F.col(text_col).isNull()), id_col, text_col, carry=True).frame, runs, "runs", "left")
-    kind = T.StructType([joined.schema["row"], T.StructField("text", T.StringType())])
+    runs = repeated_windows(Keyed.of(docs, id_col, text_col).frame, Scratch(docs.sparkSession, "substring"), window)
+    joined = _with_docs(Keyed.of(docs, id_col, text_col, carry=True).frame, runs, "runs", "left")
+    kind = T.StructType([joined.schema["row"], joined.schema["missing"], T.StructField("text", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                first, words = split_words(part.column("text"))
-                gone = _covered(first, len(words), part.column("runs"), window)
-                kept_before = np.concatenate(([0], np.cumsum(~gone)))[first]
-                kept = pa.ListArray.from_arrays(pa.array(kept_before.astype(np.int32)), words.filter(pa.array(~gone)))
-                texts = pc.binary_join(kept, pa.scalar(" ", pa.large_string())).cast(pa.string())
-                whole = pa.array(np.diff(kept_before) == np.diff(first))
-                yield pa.RecordBatch.from_arrays([part.column("row"), pc.if_else(whole, part.column("text").cast(pa.string()), texts)], kind.names)
+                found = _Cut(part, window)
+                whole = pa.array(found.n_kept == found.n_words)
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("missing"), pc.if_else(whole, part.column("text").cast(pa.string()), found.texts.cast(pa.string()))], kind.names)
 
     out = joined.mapInArrow(cut, kind)
-    text = F.when(F.col("row._missing"), F.lit(None)).otherwise(F.col("text"))
-    columns = [text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    out = out.select(*columns)
-    if "n_chars" in docs.columns and text_col == "text":
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
-    return out
+    text = F.when(~F.col("missing"), F.col("text"))
+    place = {c: F.col("row").getField(f"c{i}") for i, c in enumerate(docs.columns)}
+    if "n_chars" in place and text_col == "text":
+        place["n_chars"] = F.coalesce(F.length(text).cast(docs.schema["n_chars"].dataType), place["n_chars"])
+    return out.select(*[(text if c == text_col else place[c]).alias(c) for c in docs.columns])
