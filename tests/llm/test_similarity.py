@@ -101,6 +101,36 @@ def test_near_duplicates_in_a_crowd_below_the_threshold(spark):
     assert len(set(got.values())) == 600
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that the operators use themselves, nulls, repeated rows, a very long text."""
+    rng = random.Random(5)
+    names = ["bare", "kid", "kth", "_text_hash", "_nth", "_missing", "missing", "row", "id", "th", "nth", "runs", "c0", "n", "sid", "root"]
+    long = " ".join(words(rng, 40_000, 1_000_000))
+    texts = [(1, "a b c d e f"), (2, "A b c d e f"), (3, None), (3, None), (4, ""), (5, "x"), (5, "x"), (None, "x y"), (6, long), (7, long + " end")]
+    docs = spark.createDataFrame([(i, t, *[f"{k}{n}" for n in names]) for k, (i, t) in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    rows = sorted((tuple(r) for r in kept.collect()), key=repr)
+    assert set(rows) <= {tuple(r) for r in docs.collect()}
+    assert sorted(repr(r[0]) for r in rows) == sorted(map(repr, [1, 3, 3, 4, 5, None, 6]))
+    cut = dedup_substrings(docs)
+    assert cut.columns == docs.columns
+    got = {r["bare"]: r for r in cut.collect()}
+    for r in docs.collect():
+        assert got[r["bare"]][2:] == r[2:] and got[r["bare"]][0] == r[0]
+        assert got[r["bare"]][1] == {6: "", 7: "end"}.get(r[0], r[1])
+    assert drop_near_duplicates(docs.where("false")).count() == dedup_substrings(docs.where("false")).count() == 0
+
+
+def test_many_equal_rows(spark):
+    """Rows that repeat gather their runs once, not once for each other."""
+    rng = random.Random(6)
+    text = " ".join(words(rng, 400))
+    docs = spark.createDataFrame([(1, text)] * 4000 + [(2, "other " + text)], "doc_id long, text string")
+    rows = remove_repeats(docs).groupBy("doc_id", "n_removed").count().collect()
+    assert {(r[0], r[1], r[2]) for r in rows} == {(1, 400, 4000), (2, 400, 1)}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(50)] + [(7, 7), (3, 2), (500, 501)]

@@ -9,12 +9,14 @@ crowd just below 0.75 seldom stays together: each set there is tied to one of it
 that met a component, the main one of a large node, and are not in it, are compared with all of that
 component; then what lies outside the main component of such a node is compared with each other, all in
 blocks and as far as components differ. So a pair at 0.75 is missed with probability (1 - 0.75**3)**20,
-2e-5, in any crowd whose nodes are large at that level, and in none with more. All ties are confirmed on
-the full sets.
+2e-5, in any crowd whose nodes are large at that level, and in none with more. Pairs that meet but share few
+of all minwise values are set aside before their sets are read; one at the threshold is among these with a
+probability below 1e-9. All ties are confirmed on the full sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,11 +30,14 @@ from pyspark.sql import types as T
 
 from ..session import Scratch
 from .components import components
+from .skew import join_keys
 from .tokens import slices
 from .word_hash import Spans
 
 SHINGLE = 5
 TREES, DEPTH, NODE = 20, 8, 16
+#: Pairs at the threshold that the sketches of their minwise values may turn away.
+LIKELY = 1e-9
 #: Levels that a tree has minwise shingles of its own for; deeper ones take those of the next trees.
 OWN = 3
 #: Sets on each side of a block of comparisons with a component.
@@ -112,8 +117,9 @@ def _grow(sets: DataFrame, scratch: Scratch, trees: int, depth: int, node: int)
     rows = sets.select("sid", "n", F.explode(paths).alias("p")).select("sid", "n", "p.tree", F.xxhash64("p.tree", "p.k0").alias("node"), *[f"p.k{d}" for d in range(1, OWN)])
     small, crowds = [], []
     for level in range(depth):
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        rows = scratch.keep(rows.join(sizes, "node"), f"level{level}")
+        sizes = scratch.keep(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"sizes{level}")
+        rows = scratch.keep(join_keys(rows, sizes, ["node"], "size"), f"level{level}")
+        scratch.drop(f"sizes{level}")
         small.append(rows.where(F.col("size") <= node).select("node", "sid", "n"))
         large = rows.where(F.col("size") > node).drop("size")
         if level + 1 >= OWN:
@@ -131,6 +137,24 @@ def _grow(sets: DataFrame, scratch: Scratch, trees: int, depth: int, node: int)
     return small, crowds
 
 
+def least_agreement(values: int, percent: int, missed: float = LIKELY) -> int:
+    """Equal minwise values, of so many, below which a pair of that similarity falls with probability ``missed`` at most."""
+    p, below = percent / 100, 0.0
+    for n in range(values + 1):
+        below += math.comb(values, n) * p**n * (1 - p) ** (values - n)
+        if below > missed:
+            return n
+    return values
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """The pairs whose sketches (sid, marks) agree in ``least`` places, before their sets are read."""
+    a = sketches.select(F.col("sid").alias("a"), F.col("marks").alias("ma"))
+    b = sketches.select(F.col("sid").alias("b"), F.col("marks").alias("mb"))
+    equal = F.size(F.filter(F.zip_with("ma", "mb", lambda x, y: x == y), lambda same: same))
+    return pairs.join(a, "a").join(b, "b").where(equal >= least).drop("ma", "mb")
+
+
 def _confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     a = shingles.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
     b = shingles.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
@@ -157,7 +181,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "neardup")
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("th"), "text")
     signed = scratch.keep(signatures(base, trees * OWN, shingle), "signed")
+    rows = scratch.keep(signed.select("id", "th", "sid", "n"), "rows")
     sets = scratch.keep(signed.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
+    sketches = scratch.keep(sets.select("sid", F.transform("sig", lambda x: x.bitwiseAND(127).cast("tinyint")).alias("marks")), "sketches")
+    scratch.drop("signed")
     small, crowds = _grow(sets, scratch, trees, depth, node)
     crowd = reduce(DataFrame.unionByName, crowds) if crowds else sets.select(F.lit(0).cast("long").alias("node"), "sid", F.lit(False).alias("first")).where("false")
     crowd = scratch.keep(crowd, "crowd")
@@ -165,29 +192,36 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     for level in small[1:]:
         pairs = pairs.unionByName(_pairs(level, percent))
     hubs = crowd.groupBy("node").agg(F.min_by("sid", F.xxhash64("sid", "node")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    spokes = crowd.join(hubs, "node").where("sid <> hub").select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b"))
+    hubs = scratch.keep(hubs, "hubs")
+    spokes = join_keys(crowd, hubs, ["node"], "size").where("sid <> hub").select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b"))
     pairs = scratch.keep(pairs.unionByName(spokes).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs")
-    scratch.drop(*[f"level{i}" for i in range(len(small))])
+    scratch.drop("sets", "hubs", *[f"level{i}" for i in range(len(small))])
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(crowd.select("sid")).distinct()
-    places = signed.where("n > 0").groupBy("sid").agg(F.min(F.struct("id", "th")).alias("at")).join(wanted, "sid", "left_semi").select("sid", "at.id", "at.th")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "th")
+    per_set = scratch.keep(rows.where("n > 0").groupBy("sid").agg(F.min(order).alias("own"), F.count(F.lit(1)).alias("size")), "per_set")
+    places = per_set.join(wanted, "sid", "left_semi").select("sid", "own.id", "own.th")
     d, p = base.alias("d"), places.alias("p")
     texts = d.join(p, F.col("d.id").eqNullSafe(F.col("p.id")) & (F.col("d.th") == F.col("p.th"))).select("p.sid", "d.text")
     shingles = scratch.keep(shingle_sets(texts, shingle).dropDuplicates(["sid"]), "shingles")
 
-    # Each set's most likely tie first, then what still lies between components.
+    # Each set's most likely tie first, then what still lies between components; sketches first, then sets.
+    agree = least_agreement(trees * OWN, percent)
+    tied = lambda some: _confirmed(_likely(some, sketches, agree), shingles, percent)
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
     best = best.unionByName(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")).select("a", "b")).distinct()
-    ties = scratch.keep(_confirmed(best, shingles, percent), "ties0")
+    ties = scratch.keep(tied(best), "ties0")
     roots = scratch.keep(components(ties, scratch, "first"), "roots0")
-    more = scratch.keep(_confirmed(_between(pairs, roots), shingles, percent), "ties1")
+    more = scratch.keep(tied(_between(pairs, roots)), "ties1")
     if not more.isEmpty():
         ties = ties.unionByName(more)
         roots = scratch.keep(components(_joined_ties(roots, more), scratch, "second"), "roots1")
     # Large nodes: what lies in different components of one node.
     placed = scratch.keep(crowd.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "placed")
     shares = placed.groupBy("node", "root").agg(F.count(F.lit(1)).alias("held"))
-    mains = shares.groupBy("node").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    strays = scratch.keep(placed.join(mains.select("node", "main"), "node").where("root <> main"), "strays")
+    mains = shares.groupBy("node").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.count(F.lit(1)).alias("kinds"), F.sum("held").alias("size")).where("kinds > 1")
+    mains = scratch.keep(mains.drop("kinds"), "mains")
+    strays = scratch.keep(join_keys(placed, mains, ["node"], "size").drop("size").where("root <> main"), "strays")
+    scratch.drop("placed", "mains", "crowd", "pairs", "sketches")
     asked = strays.select("sid", F.col("main").alias("root")).distinct()
     asked = scratch.keep(asked, "asked")
     if not asked.isEmpty():
@@ -199,24 +233,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if not more.isEmpty():
             roots = scratch.keep(components(_joined_ties(roots, more), scratch, "fourth"), "roots3")
 
-    rooted = signed.select("id", "th", "sid", "n").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "th")
-    least = rooted.where("n > 0").groupBy("root").agg(F.min(order).alias("least"))
-    named = rooted.join(least, "root", "left")
-    component = F.when(F.col("n") > 0, F.col("least.id")).otherwise(F.col("id"))
-    chosen = (F.col("n") == 0) | (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("th") == F.col("least.th")))
-    return named.select(F.col("id").alias(id_col), "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), chosen.alias("chosen"))
+    # Names go from rows to sets to components and back, so copies and large components meet their names unexchanged.
+    rooted = scratch.keep(per_set.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted")
+    least = scratch.keep(rooted.groupBy("root").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("sets")), "least")
+    named = scratch.keep(join_keys(rooted, least, ["root"], "sets").select("sid", "least", "size"), "named")
+    full = join_keys(rows.where("n > 0"), named, ["sid"], "size").select("id", "th", "n", F.col("least.id").alias("component"), (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("th") == F.col("least.th"))).alias("chosen"))
+    bare = rows.where("n = 0").select("id", "th", "n", F.col("id").alias("component"), F.lit(True).alias("chosen"))
+    found = full.unionByName(bare).select("id", "th", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"), "chosen")
+    return scratch.result(found, "neardup-found").withColumnRenamed("id", id_col)
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component of ``near_duplicates``, the first by id and text hash, all columns kept; rows without shingles stay."""
+    """One row of each component of ``near_duplicates``, the first by id and text hash, all columns kept.
+
+    Rows without shingles (null and empty texts, texts without words) all stay. Of several rows with that id and
+    text the first by a hash of all its columns stays. Other columns may have any names; an empty table stays empty.
+    """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    mark = "_text_hash"
-    hashed = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    keys = found.where("chosen").select(F.col(id_col).alias("kid"), F.col("th").alias("kth"), (F.col("n_shingles") == 0).alias("bare")).distinct()
-    kept = hashed.join(keys, hashed[id_col].eqNullSafe(keys["kid"]) & (hashed[mark] == keys["kth"]))
-    nth = F.row_number().over(Window.partitionBy(id_col, mark).orderBy(F.lit(1)))
-    return kept.withColumn("_nth", nth).where("_nth = 1 or bare").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    packed = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
+    keys = found.where("chosen").select(F.col(id_col).alias("id"), "th", (F.col("n_shingles") == 0).alias("bare")).distinct()
+    d, k = packed.alias("d"), keys.alias("k")
+    kept = d.join(k, F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.th") == F.col("k.th"))).select("d.*", "k.bare")
+    nth = F.row_number().over(Window.partitionBy("id", "th").orderBy(F.xxhash64(F.to_json("row"))))
+    once = kept.withColumn("nth", nth).where("nth = 1 or bare")
+    return once.select(*[F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def _against_components(asked: DataFrame, roots: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
