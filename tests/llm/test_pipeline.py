@@ -68,5 +68,5 @@ def test_stages(spark):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
-    assert set(ORACLE_SQL) == {"op2_license_scan", "op5_url_cascade", "op9_line_frequency"}
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
+    assert set(ORACLE_SQL) == {"op2_license_scan", "op5_url_cascade", "op9_line_frequency", "op11_hard_negatives", "op12_prefix_trie", "op13_source_mix"}

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from ..session import Scratch, ship
 from . import sql
 from .decontaminate import contaminated
+from .hard_negatives import hard_negatives, usable_vectors
 from .language_id import identify_language
 from .license_scan import license_scan
 from .line_frequency import line_frequency
+from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .packing import pack_documents
+from .prefix_trie import rebuilt_trie
 from .substring import remove_repeats
 from .token_shards import document_keys, write_shards
 from .toxicity import score_toxicity
@@ -78,6 +81,19 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.digests(document_keys(docs)).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(usable_vectors(_table(spark, sf_dir, "embeddings").withColumn("label", moved)))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rebuilt_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -89,10 +105,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_line_frequency": op9_line_frequency,
     "op10_token_shards": op10_token_shards,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_source_mix": op13_source_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": sql.license_scan(),
     "op5_url_cascade": sql.url_rules(BLOCKED, ALLOWED),
     "op9_line_frequency": sql.line_frequency(),
+    "op11_hard_negatives": sql.hard_negatives(),
+    "op12_prefix_trie": sql.prefix_trie(),
+    "op13_source_mix": sql.source_mix(),
 }
