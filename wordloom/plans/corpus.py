@@ -15,26 +15,23 @@ from ..sources.transcripts import flattened
 def build_chunks(parsed: DataFrame, *, left: int = windows.LEFT, mid: int = windows.MID, right: int = windows.RIGHT, strict: bool = False, tagger: Tagger | None = None, keep_tail: bool = False) -> DataFrame:
     """Documents of chunks (filename, chunks) from parsed documents.
 
-    Shuffles on the document, for offsets, entities and texts, and on document and window for the sections. Entities are
-    tagged once for each document; token rows, which rules, leftovers and tags read, are written to the scratch folder
-    once. Documents without a chunk give no row.
+    Shuffles on the document for offsets and entities, on document and window for sections, and on document and block for
+    the texts and words of windows. Token rows, entities and tagged tokens, which are read more than once, are written to
+    the scratch folder. Documents without a chunk give no row.
     """
     docs = flattened(parsed)
     members = windows.window_members(windows.timed_words(docs), left, mid, right, strict=strict)
     chunks = windows.chunks(windows.sections(members))
     pairs = docs.select("doc", F.posexplode(F.arrays_zip("ntoks", "ptoks")).alias("pos", "t")).select("doc", "pos", F.col("t.ntoks").alias("ntok"), F.col("t.ptoks").alias("ptok"))
-    tokens = Scratch(parsed.sparkSession, "tokens").keep(entities.with_offsets(pairs), "rows")
-    found = entities.tag_all(tokens, tagger)
-    texts = segments.segment_texts(chunks, entities.embed_tags(tokens, found), found, keep_tail=keep_tail)
-    numbered = windows.number_chunks(texts)
-    words = numbered.join(docs.select("doc", "words"), "doc")
-
-    def whole(side: str):
-        s = F.col(side)
-        return F.struct(windows.section_tokens(F.col("words"), s).alias("tokens"), *[s[f].alias(f) for f in ("start_time", "end_time", "start_index", "end_index")]).alias(side)
-
-    chunk = F.struct(whole("left"), whole("mid"), whole("right"), "puncted_text", "segmented_puncted_text", "global_chunk_number", F.col("doc").alias("filename"))
-    rows = words.select("doc", "k", chunk.alias("chunk"))
+    scratch = Scratch(parsed.sparkSession, "tokens")
+    tokens = scratch.keep(entities.with_offsets(pairs), "rows")
+    found = scratch.keep(entities.tag_all(tokens, tagger), "entities")
+    tagged = scratch.keep(entities.embed_tags(tokens, found), "tagged")
+    numbered = windows.number_chunks(segments.segment_texts(scratch.keep(chunks, "chunks"), tagged, found, keep_tail=keep_tail))
+    spoken = docs.select("doc", F.posexplode("words").alias("idx", "word"))
+    rows = windows.with_section_tokens(numbered, spoken)
+    chunk = F.struct("left", "mid", "right", "puncted_text", "segmented_puncted_text", "global_chunk_number", F.col("doc").alias("filename"))
+    rows = rows.select("doc", "k", chunk.alias("chunk"))
     return rows.groupBy(F.col("doc").alias("filename")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "chunk"))), lambda x: x["chunk"]).alias("chunks"))
 
 

@@ -315,8 +315,9 @@ def interval_merge(spark, sf_dir):
  WHEN regexp_matches(tok, '[0-9]') AND length(bare) > 0 AND (regexp_matches(bare, '^\\p{{Nd}}+$') OR (length(bare) > 1 AND length(regexp_replace(bare, '[^\\p{{Nd}}]', '', 'g')) >= 0.4 * length(bare))) THEN 'NUMERIC' END AS tag FROM n)
 SELECT doc, md5(string_agg(CASE WHEN tag IS NULL THEN tok ELSE '<' || tag || '>' || tok || '</' || tag || '>' END, ' ' ORDER BY pos)) AS tagged, count(tag) AS n_entities FROM g GROUP BY doc""")
 def tag_embed(spark, sf_dir):
-    rows = Scratch(spark, "tokens").keep(spoken(tokens(transcripts(spark, sf_dir))), "rows")
-    found = entities.tag_all(rows)
+    scratch = Scratch(spark, "tokens")
+    rows = scratch.keep(spoken(tokens(transcripts(spark, sf_dir))), "rows")
+    found = scratch.keep(entities.tag_all(rows), "entities")
     tagged = entities.embed_tags(rows, found)
     texts = tagged.groupBy("doc").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tagged"))), lambda x: x["tagged"]), " ").cast("binary")).alias("tagged"))
     counts = found.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))

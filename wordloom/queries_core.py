@@ -144,13 +144,14 @@ def aligned_entity_texts(spark, sf_dir):
 
 def spoken_segments(spark, sf_dir) -> DataFrame:
     """Chunks of whole transcripts, a spoken word a second, with their texts cut at the windows' boundaries."""
-    rows = Scratch(spark, "tokens").keep(spoken(tokens(transcripts(spark, sf_dir))).withColumn("ptok", F.concat("ptok", F.lit(" "))), "rows")
-    found = entities.tag_all(rows)
+    scratch = Scratch(spark, "tokens")
+    rows = scratch.keep(spoken(tokens(transcripts(spark, sf_dir))).withColumn("ptok", F.concat("ptok", F.lit(" "))), "rows")
+    found = scratch.keep(entities.tag_all(rows), "entities")
     last = rows.groupBy("doc").agg(F.max("nend").cast("int").alias("n")).where("n > 0")
     words = last.select("doc", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx"))
     timed = words.select("doc", "idx", F.lit("w").alias("word"), (F.col("idx").cast("long") * 1000 + 500).alias("start"), (F.col("idx").cast("long") * 1000 + 900).alias("end"))
-    chunks = windows.chunks(windows.sections(windows.window_members(timed)))
-    return segments.segment_texts(chunks, entities.embed_tags(rows, found), found, keep_tail=True)
+    chunks = scratch.keep(windows.chunks(windows.sections(windows.window_members(timed))), "chunks")
+    return segments.segment_texts(chunks, scratch.keep(entities.embed_tags(rows, found), "tagged"), found, keep_tail=True)
 
 
 _DIGITS = "regexp_matches(tok, '[0-9]') AND length(bare) > 0 AND (regexp_matches(bare, '^\\p{Nd}+$') OR (length(bare) > 1 AND length(regexp_replace(bare, '[^\\p{Nd}]', '', 'g')) >= 0.4 * length(bare)))"
