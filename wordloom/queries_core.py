@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import encode as E
 from .operators import entities, evaluation, segments, selection, tags, windows
+from .operators.anchors import anchored_counts
 from .queries import RULE, TOKENS, query, spoken, table, tokens, transcripts
 from .session import Scratch
 from .sources.transcripts import parse_aligned
@@ -93,6 +94,22 @@ def corpus_error_rate(spark, sf_dir):
     return counts.select(evaluation.word_error_rate(*[F.col(c) for c in ("hits", "substitutions", "deletions", "insertions")]).alias("wer"), "docs", (F.col("substitutions") + F.col("deletions") + F.col("insertions")).alias("errors"))
 
 
+@query(f"""WITH {TOKENS}, e AS (SELECT doc, pos % 30 AS p FROM t)
+SELECT doc, count(*) FILTER (WHERE p NOT IN (5, 15)) AS hits, count(*) FILTER (WHERE p = 15) AS substitutions, count(*) FILTER (WHERE p = 5) AS deletions, count(*) FILTER (WHERE p = 25) AS insertions FROM e GROUP BY doc""")
+def anchored_errors(spark, sf_dir):
+    """Whole transcripts against ones in which words are missing, changed and added, aligned in segments between anchors.
+
+    A word carries its place modulo 97, so that repeated words cannot be matched at a distance, and the planted errors,
+    ten words apart, are the cheapest alignment."""
+    rows = tokens(transcripts(spark, sf_dir))
+    place, p = F.col("pos") % 97, F.col("pos") % 30
+    rows = rows.withColumn("ref", F.concat("tok", F.lit("_"), place.cast("string")))
+    changed = F.when(p == 5, "").when(p == 15, F.concat(F.lit("changed_"), "pos")).when(p == 25, F.concat("ref", F.lit(" added_"), "pos")).otherwise(F.col("ref"))
+    whole = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c]), " ")
+    pairs = rows.withColumn("hyp", changed).groupBy("doc").agg(whole("ref").alias("ref"), whole("hyp").alias("hyp"))
+    return anchored_counts(Scratch(spark, "pairs").keep(pairs, "rows"))
+
+
 # ---- BIO labels and entity pairs -------------------------------------------------------------------------------------
 
 
