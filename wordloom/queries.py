@@ -16,6 +16,7 @@ from .functions import sequence as S
 from .functions import text as X
 from .operators import entities, evaluation, selection, tags, windows
 from .session import Scratch, ship
+from .streaming.chunks import finished_chunks
 from .streaming.windows import stream_sections
 
 HOUR = 3_600_000
@@ -501,4 +502,19 @@ def stream_windows(spark, sf_dir):
     return stream_sections(table(spark, sf_dir, "events"), left_s=21600, mid_s=86400, right_s=21600).select("user_id", "k", "side", "n")
 
 
+EPOCH_WORDS = f"""w AS (SELECT user_id AS doc, event_id AS idx, event_type AS word, epoch_us(ts) // 1000 AS start, epoch_us(ts) // 1000 + 500 AS "end" FROM events),
+m AS (SELECT doc, idx, word, start, "end", start // {MID} AS k, 'mid' AS side FROM w UNION ALL SELECT doc, idx, word, start, "end", start // {MID} + 1, 'left' FROM w WHERE start % {MID} >= {MID - LEFT} UNION ALL SELECT doc, idx, word, start, "end", start // {MID} - 1, 'right' FROM w WHERE start % {MID} < {RIGHT})"""
+
+
+@query(f"""WITH {EPOCH_WORDS}, t AS (SELECT doc, k, string_agg(word, ' ' ORDER BY idx) FILTER (WHERE side = 'left') AS l, string_agg(word, ' ' ORDER BY idx) FILTER (WHERE side = 'mid') AS m, string_agg(word, ' ' ORDER BY idx) FILTER (WHERE side = 'right') AS r,
+ arg_min(start, idx) FILTER (WHERE side = 'mid') AS mid_start, arg_max("end", idx) FILTER (WHERE side = 'mid') AS mid_end, count(*) FILTER (WHERE side = 'left') AS n_left FROM m GROUP BY doc, k)
+SELECT doc, k, coalesce(l, '') || '|' || m || '|' || coalesce(r, '') AS text, mid_start, mid_end, n_left FROM t WHERE m IS NOT NULL""")
+def streamed_chunks(spark, sf_dir):
+    """Whole chunks of all events, by the stateful operator over a replayed stream."""
+    millis = F.expr("unix_micros(cast(ts as timestamp)) div 1000")
+    words = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), F.lit(0).cast("long").alias("origin"), F.col("event_id").cast("long").alias("idx"), F.col("event_type").alias("word"), millis.alias("start"), (millis + 500).alias("end"))
+    chunks = finished_chunks(words, left=LEFT, mid=MID, right=RIGHT)
+    return chunks.select("doc", "k", "text", F.col("mid.start_time").alias("mid_start"), F.col("mid.end_time").alias("mid_end"), F.coalesce(F.size("left.tokens"), F.lit(0)).cast("long").alias("n_left"))
+
+
 from . import queries_core  # noqa: E402, F401  registers more
