@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import or_else
@@ -18,23 +18,30 @@ def select_ids(rows: DataFrame, ids: DataFrame, key: str, id_: str = "value", *,
     wanted = ids.select(F.col(id_).alias(key))
     if not strict:
         return wanted.join(rows, key)
-    marked = wanted.join(rows.withColumn("_known", F.lit(True)), key, "left")
-    check = F.when(F.col("_known"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("unknown id "), F.col(key).cast("string"))).cast(rows.schema[key].dataType))
-    return marked.withColumn(key, check).drop("_known")
+    marked = wanted.join(rows.withColumn("__select_known", F.lit(True)), key, "left")
+    check = F.when(F.col("__select_known"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("unknown id "), F.col(key).cast("string"))).cast(rows.schema[key].dataType))
+    return marked.withColumn(key, check).drop("__select_known")
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row for each key, the last in order: an aggregate with partial steps, no sort of a key's rows."""
     others = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
+    last = F.col("__select_row")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in others]), F.col(order)).alias("__select_row")).select(key, *[last.getField(c).alias(c) for c in others])
 
 
-def substitute(rows: DataFrame, position: str, valid: str, divisor: int = 3000) -> DataFrame:
-    """Rows where an invalid one takes the values of the row at ``position div divisor``, valid or not; adds used, that position."""
+def substitute(rows: DataFrame, position: str, valid: str, divisor: int = 3000, used: str = "used") -> DataFrame:
+    """Rows where an invalid one takes the values of the row at ``position div divisor``, valid or not; adds that position
+    in a column of the name ``used``, which rows must not have."""
+    if used in rows.columns:
+        raise ValueError(f"rows have a column {used} already")
     others = [c for c in rows.columns if c not in (position, valid)]
-    wanted = rows.withColumn("used", F.when(F.col(valid), F.col(position)).otherwise(F.expr(f"{position} div {divisor}")))
-    spare = rows.select(F.col(position).alias("used"), F.struct(*others).alias("_spare"))
-    return wanted.where(valid).select(position, "used", *others).unionByName(wanted.where(~F.coalesce(F.col(valid), F.lit(False))).select(position, "used").join(spare, "used").select(position, "used", *[F.col(f"_spare.{c}").alias(c) for c in others]))
+    whole = F.struct(*[F.col(f"`{c}`") for c in others]).alias("__select_row")
+    good = F.coalesce(F.col(valid), F.lit(False))
+    kept = rows.where(good).select(position, F.col(position).alias(used), whole)
+    wanted = rows.where(~good).select(position, F.expr(f"`{position}` div {divisor}").alias(used))
+    replaced = wanted.join(rows.select(F.col(position).alias(used), whole), used).select(position, used, "__select_row")
+    return kept.unionByName(replaced).select(position, used, *[F.col("__select_row").getField(c).alias(c) for c in others])
 
 
 def leaked(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -47,9 +54,15 @@ def id_prefix(rows: DataFrame, key: str, digits: str) -> DataFrame:
     return rows.where(F.col(key).cast("string").rlike(f"^[{digits}]"))
 
 
+def _draw(key: str, seed: int) -> Column:
+    """A place in a seeded order: the MD5 of seed and key in hexadecimal, then the key."""
+    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    return F.concat(F.md5(F.concat(F.lit(f"{seed}:"), text).cast("binary")), F.lit(":"), text)
+
+
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
     """rows in an order that the seed and the key alone decide; rows of one key stand together."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key)
+    return rows.orderBy(_draw(key, seed))
 
 
 def whole_batches(rows: DataFrame, key: str, seed: int, size: int) -> DataFrame:
@@ -57,11 +70,11 @@ def whole_batches(rows: DataFrame, key: str, seed: int, size: int) -> DataFrame:
     sums over ranges of the shuffled keys, not a sort in one task."""
     from .windows import running_before
 
-    place = F.format_string("%016x", F.xxhash64(key, F.lit(seed)))
-    placed = rows.withColumn("_place", F.concat(place, F.lit(":"), F.col(key).cast("string")))
-    before = running_before(placed.select("_place", F.lit(1).alias("one")), "_place", "one")
+    placed = rows.withColumn("__select_place", _draw(key, seed))
+    before = running_before(placed.select("__select_place", F.lit(1).alias("one")), "__select_place", "one").withColumnRenamed("before", "__select_before")
     total = rows.count()
-    return placed.join(before, "_place").withColumn("batch", F.floor(F.col("before") / size)).where(F.col("before") < total // size * size).drop("_place", "before")
+    found = placed.join(before, "__select_place").where(F.col("__select_before") < total // size * size)
+    return found.withColumn("batch", F.floor(F.col("__select_before") / size)).drop("__select_place", "__select_before")
 
 
 def flatten_chunks(docs: DataFrame) -> DataFrame:

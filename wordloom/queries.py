@@ -479,10 +479,11 @@ def pad_shift(spark, sf_dir):
     return rows.select("doc_id", E.pad_labels(F.col("ids"), F.lit(12)).alias("labels"), E.shift_right(F.col("ids"), 50258).alias("decoder_input_ids"))
 
 
-@query("WITH s AS (SELECT unnest(generate_series(0, 5000, 50)) AS step) SELECT step, round(CASE WHEN step < 1250 THEN step / 1250.0 * 0.0001 ELSE 0.0001 * (1 - least((step - 1250) / 3750.0, 1)) END, 12) AS rate FROM s")
+@query("WITH s AS (SELECT event_id, event_id % 6000 AS step FROM events) SELECT event_id, step, round(CASE WHEN step < 1250 THEN step / 1250.0 * 0.0001 ELSE 0.0001 * (1 - least((step - 1250) / 3750.0, 1)) END, 12) AS rate FROM s")
 def lr_schedule(spark, sf_dir):
-    steps = spark.range(0, 5001, 50).withColumnRenamed("id", "step")
-    return steps.select("step", F.round(E.learning_rate(F.col("step"), 1e-4, 1250, 5000), 12).alias("rate"))
+    """The rate at every event, taken as a log of training steps that begins anew every 6000."""
+    steps = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 6000).alias("step"))
+    return steps.select("event_id", "step", F.round(E.learning_rate(F.col("step"), 1e-4, 1250, 5000), 12).alias("rate"))
 
 
 @query("WITH d AS (SELECT doc_id, list_transform(generate_series(1, 10), lambda i: CASE WHEN i = 2 + doc_id % 3 THEN 51908 WHEN i = 6 + doc_id % 4 AND doc_id % 5 <> 0 THEN 51907 ELSE i END) AS ids FROM documents), p AS (SELECT doc_id, ids, list_position(ids, 51908) AS a, coalesce(list_position(ids, 51907), 0) AS b FROM d) SELECT doc_id, len(list_filter(generate_series(1, 10), lambda i: i >= a AND i < b)) AS n_mid FROM p")

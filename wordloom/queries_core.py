@@ -59,12 +59,10 @@ def span_entities(spark, sf_dir):
     return entities.span_entities(entities.adjusted_spans(money_spans(rows), texts), rows)
 
 
-@query("WITH b AS (SELECT doc_id, n_chars FROM documents) SELECT count(*) // 64 AS batches, count(*) // 64 * 64 AS n, CAST(64 AS BIGINT) AS least, CAST(64 AS BIGINT) AS most FROM b")
+@query("WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('7:' || doc_id), CAST(doc_id AS VARCHAR)) - 1 AS place, count(*) OVER () AS n FROM documents) SELECT doc_id, place // 64 AS batch FROM o WHERE place < n // 64 * 64")
 def shuffled_batches(spark, sf_dir):
-    """Whole batches of 64 in a seeded order: their number and sizes; which rows is the seed's matter."""
-    rows = selection.whole_batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 7, 64)
-    sizes = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("size"))
-    return sizes.agg(F.count(F.lit(1)).alias("batches"), F.sum("size").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
+    """Whole batches of 64 in a seeded order: every document's batch."""
+    return selection.whole_batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 7, 64).withColumn("batch", F.col("batch").cast("long"))
 
 
 # ---- alignment -------------------------------------------------------------------------------------------------------
