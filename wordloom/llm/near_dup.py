@@ -131,7 +131,8 @@ def _grow(sets: DataFrame, scratch: Scratch, trees: int, depth: int, node: int)
             rows = large.withColumn("node", F.xxhash64("node", key)).drop(f"k{level + 1}")
         else:
             if level + 1 == OWN:
-                large = large.join(sets.select("sid", "sig"), "sid")
+                # Written, as the next level reads it twice.
+                large = scratch.keep(large.join(sets.select("sid", "sig"), "sid"), "deep")
             place = ((F.col("tree") + (level + 1) // OWN) % trees) * OWN + (level + 1) % OWN + 1
             rows = large.withColumn("node", F.xxhash64("node", F.element_at("sig", place.cast("int"))))
     return small, crowds
@@ -195,7 +196,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hubs = scratch.keep(hubs, "hubs")
     spokes = join_keys(crowd, hubs, ["node"], "size").where("sid <> hub").select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b"))
     pairs = scratch.keep(pairs.unionByName(spokes).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs")
-    scratch.drop("sets", "hubs", *[f"level{i}" for i in range(len(small))])
+    scratch.drop("sets", "hubs", "deep", *[f"level{i}" for i in range(len(small))])
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(crowd.select("sid")).distinct()
     order = F.struct(F.col("id").isNull().alias("last"), "id", "th")
     per_set = scratch.keep(rows.where("n > 0").groupBy("sid").agg(F.min(order).alias("own"), F.count(F.lit(1)).alias("size")), "per_set")
