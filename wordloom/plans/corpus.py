@@ -71,10 +71,10 @@ def evaluate(refs: DataFrame, hyps: DataFrame, *by: str, tagged: bool = True) ->
     return out
 
 
-def sweep(refs: DataFrame, systems: dict[str, DataFrame], tagged: bool = True) -> DataFrame:
-    """Word errors of several systems, a row for each."""
-    out = None
-    for name, hyps in systems.items():
-        one = evaluate(refs, hyps, tagged=tagged)["errors"].withColumn("system", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+def sweep(refs: DataFrame, systems: dict[str, DataFrame]) -> DataFrame:
+    """Word errors and places of several systems, a row for each. Their texts are one table with the system as a key."""
+    hyps = None
+    for name, texts in systems.items():
+        one = texts.select(F.lit(name).alias("system"), "doc", "text")
+        hyps = one if hyps is None else hyps.unionByName(one)
+    return evaluation.rated_systems(evaluation.prepared_systems(refs, hyps))

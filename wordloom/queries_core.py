@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import encode as E
 from .operators import entities, evaluation, segments, selection, tags, windows
 from .operators.anchors import anchored_counts
+from .plans.corpus import build_chunks
 from .queries import RULE, TOKENS, query, spoken, table, tokens, transcripts
 from .session import Scratch
 from .sources.transcripts import parse_aligned
@@ -108,6 +109,20 @@ def anchored_errors(spark, sf_dir):
     return anchored_counts(Scratch(spark, "pairs").keep(pairs, "rows"))
 
 
+@query(f"""WITH {BARE}, s(system, n) AS (VALUES ('seventh', 7), ('ninth', 9), ('eleventh', 11)), e AS (SELECT system, count(DISTINCT doc) AS docs, count(*) FILTER (WHERE pos % n <> n - 1) AS hits, count(*) FILTER (WHERE pos % n = n - 1) AS deletions FROM b, s GROUP BY system)
+SELECT system, docs, hits, deletions, CAST(deletions AS DOUBLE) / (hits + deletions) AS wer, rank() OVER (ORDER BY CAST(deletions AS DOUBLE) / (hits + deletions)) AS place FROM e""")
+def rated_systems(spark, sf_dir):
+    """Three systems, each of which misses every n-th word of all transcripts, rated in one plan. A word carries its place
+    modulo 97, so that missing words of repeated text do not count as a long deletion."""
+    words = bare_words(tokens(transcripts(spark, sf_dir))).withColumn("w", F.concat("w", F.lit("_"), (F.col("pos") % 97).cast("string")))
+    n = F.col("n")
+    systems = F.array(*[F.struct(F.lit(name).alias("system"), F.lit(k).alias("n")) for name, k in (("seventh", 7), ("ninth", 9), ("eleventh", 11))])
+    whole = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c]), " ")
+    rows = words.select("doc", "pos", "w", F.inline(systems)).withColumn("kept", F.when(F.col("pos") % n == n - 1, None).otherwise(F.col("w")))
+    pairs = rows.groupBy("system", "doc").agg(whole("w").alias("ref"), whole("kept").alias("hyp"))
+    return evaluation.rated_systems(pairs).select("system", "docs", "hits", "deletions", "wer", "place")
+
+
 # ---- BIO labels and entity pairs -------------------------------------------------------------------------------------
 
 
@@ -222,6 +237,35 @@ def parsed_documents(spark, sf_dir):
     )
 
 
+@query(f"""WITH {TOKENS}, z AS (SELECT doc, pos, pos // 10 AS s, tok, contains('.,;:?!)', tok) AS leans, regexp_matches(tok, '^[.,;:?!)]$') AS mark FROM t WHERE tok <> '$'),
+ok AS (SELECT doc, s FROM z GROUP BY doc, s HAVING NOT arg_min(leans, pos)),
+p AS (SELECT doc, pos, mark, tok || CASE WHEN tok = '(' OR coalesce(lead(leans) OVER (PARTITION BY doc, s ORDER BY pos), true) THEN '' ELSE ' ' END AS tok FROM z JOIN ok USING (doc, s)),
+q AS (SELECT *, CASE WHEN mark THEN 0 ELSE 1 END AS width, row_number() OVER w - 1 AS pl, lag(tok) OVER w AS prev, translate(tok, '.,-', '') AS bare FROM p WINDOW w AS (PARTITION BY doc ORDER BY pos)),
+q0 AS (SELECT *, sum(width) OVER (PARTITION BY doc ORDER BY pl) - width AS ns, {RULE} AS rule FROM q), q1 AS (SELECT *, coalesce(rule = 'PHONE_NUM' AND prev = '+1 ', false) AS ext FROM q0), q2 AS (SELECT *, coalesce(lead(ext) OVER (PARTITION BY doc ORDER BY pl), false) AS opens FROM q1),
+g AS (SELECT *, coalesce(rule, CASE WHEN NOT opens AND width = 1 AND trim(tok) <> 'w' || pos AND (regexp_matches(bare, '^\\p{{Nd}}+$') OR (length(bare) > 1 AND length(regexp_replace(bare, '[^\\p{{Nd}}]', '', 'g')) >= 0.4 * length(bare))) THEN 'NUMERIC' END) AS tag FROM q2),
+y AS (SELECT doc, pl, ns, width, pos, CASE WHEN opens THEN '<PHONE_NUM>' ELSE '' END || CASE WHEN tag IS NULL THEN tok ELSE CASE WHEN ext THEN '' ELSE '<' || tag || '>' END || trim(tok) || '</' || tag || '>' || CASE WHEN ends_with(tok, ' ') THEN ' ' ELSE '' END END AS tok FROM g),
+w AS (SELECT doc, ns AS idx, pos * 1000 AS start, pos * 1000 + 900 AS "end", pos // 20 AS k, pos % 20 AS r, 'w' || pos AS word FROM y WHERE width = 1),
+m AS (SELECT doc, k, 'mid' AS side, idx, start, "end", word FROM w UNION ALL SELECT doc, k + 1, 'left', idx, start, "end", word FROM w WHERE r >= 15 UNION ALL SELECT doc, k - 1, 'right', idx, start, "end", word FROM w WHERE r < 5 AND k > 0),
+c AS (SELECT doc, k, min(idx) FILTER (WHERE side = 'left') AS ls, max(idx) FILTER (WHERE side = 'left') + 1 AS le, min(idx) FILTER (WHERE side = 'mid') AS ms, max(idx) FILTER (WHERE side = 'mid') + 1 AS me, min(idx) FILTER (WHERE side = 'right') AS rs, max(idx) FILTER (WHERE side = 'right') + 1 AS re,
+ arg_min(start, idx) FILTER (WHERE side = 'mid') AS mid_start, arg_max("end", idx) FILTER (WHERE side = 'mid') AS mid_end, md5(string_agg(word, ' ' ORDER BY idx) FILTER (WHERE side = 'mid')) AS mid_tokens FROM m GROUP BY doc, k),
+o AS (SELECT doc, ns AS word, pl FROM y WHERE width = 1),
+a AS (SELECT c.*, f.pl AS first, s.pl AS stop, x.pl AS mid_at, l.pl AS left_at, r.pl AS right_at FROM c JOIN o f ON f.doc = c.doc AND f.word = CASE WHEN coalesce(ls, 0) <> 0 THEN ls ELSE ms END JOIN o s ON s.doc = c.doc AND s.word = CASE WHEN coalesce(re, 0) <> 0 THEN re ELSE me END
+ JOIN o x ON x.doc = c.doc AND x.word = ms LEFT JOIN o l ON l.doc = c.doc AND l.word = ls LEFT JOIN o r ON r.doc = c.doc AND r.word = rs WHERE coalesce(mid_start, 0) <> 0),
+b AS (SELECT *, first + CASE WHEN ls IS NULL THEN 0 ELSE mid_at - left_at END AS m0 FROM a), d2 AS (SELECT *, m0 + right_at - mid_at AS r0 FROM b),
+e AS (SELECT d2.doc, d2.k, rs, mid_start, mid_end, mid_tokens, string_agg(tok, '' ORDER BY y.pl) AS whole, coalesce(string_agg(tok, '' ORDER BY y.pl) FILTER (WHERE y.pl < m0), '') AS l, coalesce(string_agg(tok, '' ORDER BY y.pl) FILTER (WHERE y.pl >= m0 AND (rs IS NULL OR y.pl < r0)), '') AS m, coalesce(string_agg(tok, '' ORDER BY y.pl) FILTER (WHERE y.pl >= r0), '') AS r
+ FROM d2 JOIN y ON y.doc = d2.doc AND y.pl >= first AND y.pl < stop GROUP BY ALL)
+SELECT doc, row_number() OVER (ORDER BY doc, k) - 1 AS number, mid_start, mid_end, mid_tokens, md5(trim(whole)) AS whole, md5(trim(l) || '|' || CASE WHEN rs IS NULL THEN m ELSE trim(m) END || '|' || trim(r)) AS segmented FROM e""")
+def corpus_chunks(spark, sf_dir):
+    """The whole corpus build: aligned XML of every transcript to numbered chunks with tagged and cut texts."""
+    built = build_chunks(parse_aligned(document_xml(spark, sf_dir)))
+    chunk = built.select(F.col("filename").alias("doc"), F.explode("chunks").alias("c")).select("doc", "c.*")
+    text = lambda c: F.md5(F.col(c).cast("binary"))
+    return chunk.select(
+        "doc", F.col("global_chunk_number").alias("number"), F.col("mid.start_time").alias("mid_start"), F.col("mid.end_time").alias("mid_end"),
+        F.md5(F.array_join("mid.tokens", " ").cast("binary")).alias("mid_tokens"), text("puncted_text").alias("whole"), text("segmented_puncted_text").alias("segmented"),
+    )
+
+
 @query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def event_props(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", F.from_json("props", "k bigint")["k"].alias("k"))
