@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom.functions.sequence import word_distance
-from wordloom.operators import selection, windows
+from wordloom.operators import collate, selection, windows
+from wordloom.sources.transcripts import write_log
 
 
 def test_clashing_names(spark):
@@ -26,3 +27,27 @@ def test_word_distance_refuses_too_many_words(spark):
         rows.select(word_distance(F.col("a"), F.col("b"))).collect()
     few = spark.range(1).select(F.array(F.lit("a"), F.lit("b")).alias("a"), F.array(F.lit("b")).alias("b"))
     assert few.select(word_distance(F.col("a"), F.col("b")).alias("d")).first().d == 1
+
+
+def test_collation(spark):
+    rows = spark.createDataFrame([(i, [9] * (i % 3 == 0 or i > 6) + list(range(i)), i) for i in range(12)], "k int, ids array<int>, width int")
+    got = {r.k: r for r in collate.collated(collate.length_batches(rows.drop("width"), "k", "ids", 5), "ids", 9, multiple=4, pad_id=7).collect()}
+    assert [got[k].batch for k in (1, 0, 2, 4, 3)] == [0] * 5 and not got[0].cut and got[0].labels == [9, -100, -100, -100]
+    last = [r for r in got.values() if r.batch == 2]
+    assert all(r.cut and r.width == len(r.labels) == len(r.decoder_input_ids) == 11 for r in last)
+    assert got[10].labels == [*range(10), -100] and got[10].decoder_input_ids == [9, *range(10)] and got[11].labels == list(range(11))
+    assert collate.collated(collate.length_batches(rows.where("k < 0").drop("width"), "k", "ids", 5), "ids", 9).count() == 0
+    odd = spark.createDataFrame([(1, [], 0), (2, [], 0)], "k int, ids array<int>, batch int")
+    assert {(tuple(r.labels), tuple(r.decoder_input_ids)) for r in collate.collated(odd, "ids", 9).collect()} == {((), ())}
+
+
+def test_log_is_written_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([(i, "loss", float(i)) for i in range(10)], "step int, measure string, value double")
+    write_log(rows, path, "a")
+    write_log(rows, path, "a")
+    write_log(rows.limit(2), path, "b")
+    write_log(rows.withColumn("step", F.col("step") + 10), path, "a", first=10)
+    write_log(rows.withColumn("step", F.col("step") + 10), path, "a", first=10)
+    got = sorted((r.run, r.step) for r in spark.read.parquet(path).collect())
+    assert got == [("a", i) for i in range(20)] + [("b", 0), ("b", 1)]

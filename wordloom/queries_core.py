@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import encode as E
 from .operators import entities, evaluation, segments, selection, tags, windows
 from .operators.anchors import anchored_counts
+from .operators.collate import collated, length_batches
 from .plans.corpus import build_chunks
 from .queries import RULE, TOKENS, query, spoken, table, tokens, transcripts
 from .session import Scratch
@@ -280,3 +281,19 @@ SELECT vec_id % 10 AS part, round(sum(0.9 * (z - v[target + 1]) + 0.1 / (len(v)
 def smoothed_loss(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", E.smoothed_loss(F.col("embedding"), F.col("label") % 64, 0.1).alias("loss"))
     return rows.groupBy((F.col("vec_id") % 10).alias("part")).agg(F.round(F.sum("loss"), 5).alias("loss"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {TOKENS}, i AS (SELECT doc, list(CAST(ascii(tok) AS INTEGER) ORDER BY pos) FILTER (WHERE pos < 255) AS ids FROM t GROUP BY doc), j AS (SELECT doc, CASE WHEN len(ids) >= 60 OR doc % 3 = 0 THEN list_concat([50258], ids) ELSE ids END AS ids FROM i),
+b AS (SELECT *, (row_number() OVER (ORDER BY len(ids), CAST(doc AS VARCHAR)) - 1) // 32 AS batch FROM j), w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS longest, bool_and(ids[1] = 50258) OVER (PARTITION BY batch) AS cut FROM b),
+o AS (SELECT doc, batch, cut, longest - CASE WHEN cut THEN 1 ELSE 0 END AS width, CASE WHEN cut THEN ids[2:] ELSE ids END AS ids FROM w),
+z AS (SELECT *, list_concat(ids, list_transform(range(width - len(ids)), lambda x: -100)) AS labels, list_concat([50258], list_concat(ids, list_transform(range(width - len(ids)), lambda x: 0))[:width - 1]) AS inputs FROM o)
+SELECT doc, batch, cut, CAST(width AS INTEGER) AS width, CAST(width - len(ids) AS INTEGER) AS padding, md5(array_to_string(labels, ',')) AS labels, md5(array_to_string(inputs, ',')) AS inputs FROM z""")
+def collated_batches(spark, sf_dir):
+    """Labels of all transcripts (a token's first code point, 256 at most), in batches of 32 of about equal length."""
+    rows = tokens(transcripts(spark, sf_dir)).where("pos < 255").groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.ascii("tok").alias("id")))), lambda x: x["id"]).alias("ids"))
+    start = E.truncate(F.concat(F.array(F.lit(50258)), "ids"), 256)
+    rows = rows.withColumn("ids", F.when((F.size("ids") >= 60) | (F.col("doc") % 3 == 0), start).otherwise(F.col("ids")))
+    out = collated(length_batches(Scratch(spark, "labels").keep(rows, "rows"), "doc", "ids", 32), "ids", 50258)
+    text = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ",").cast("binary"))
+    own = F.size(F.filter("labels", lambda x: x != -100))
+    return out.select("doc", "batch", "cut", "width", (F.col("width") - own).alias("padding"), text("labels").alias("labels"), text("decoder_input_ids").alias("inputs"))

@@ -121,10 +121,15 @@ def write_features(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("features").cast("array<float>").alias("features")).write.mode(mode).parquet(path)
 
 
-def write_log(rows: DataFrame, path: str, run: str) -> None:
-    """Training measures (step, measure, value) of a run, appended to a table of runs."""
+def write_log(rows: DataFrame, path: str, run: str, first: int = 0) -> None:
+    """Training measures (step, measure, value) of a run from step ``first`` on, in a table of runs.
+
+    A range of steps is a partition, which a write replaces: a retry, or a run that goes on again from the same step, leaves
+    its rows once. Other runs and ranges stay as they are.
+    """
     columns = [F.col("step").cast("long").alias("step"), F.col("measure").cast("string").alias("measure"), F.col("value").cast("double").alias("value")]
-    rows.select(*columns, F.lit(run).alias("run")).write.mode("append").partitionBy("run").parquet(path)
+    kept = rows.where(F.col("step") >= first).select(*columns, F.lit(run).alias("run"), F.lit(first).cast("long").alias("first"))
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "first").parquet(path)
 
 
 def with_features(rows: DataFrame, features: DataFrame) -> DataFrame:
