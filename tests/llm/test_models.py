@@ -1,5 +1,7 @@
 """Toxicity and language identification, by held-out accuracy and on odd inputs."""
 
+import pickle
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -7,8 +9,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.llm.language_id import ORDER, Grams, KneserNey, _ngrams, fit_languages, identify_language, keys_of, summed
+from wordloom.llm.language_id import LEFTS, ORDER, SHARES, Grams, LanguageModel, _ngrams, fit_languages, identify_language, letters_only, summed
 from wordloom.llm.toxicity import CLEAN, SILENT, TOXIC, LabelModel, drop_toxic, learned_from, score_toxicity
+from wordloom.session import Scratch
 
 SF = "/root/testdata/sf0.01"
 ODD = [(900001, None), (900002, ""), (900003, "12 34 !!"), (None, "some words here"), (900004, "you stupid worthless idiot, you pathetic moron"), (900004, "you stupid worthless idiot, you pathetic moron"), (900005, "und " * 60_000)]
@@ -21,8 +24,6 @@ def with_odd(spark):
 
 
 def test_split_is_of_the_id():
-    import zlib
-
     from wordloom.session import build_session
 
     spark = build_session(4, "tests")
@@ -81,9 +82,20 @@ def test_models_hold_every_ngram(spark):
     learned = [t for (t,) in docs.where(learned_from(F.col("id"))).select("text").collect()]
     grams, counts = counted(" ".join(learned).split())
     assert len(grams) > 130_000
-    want, got = KneserNey.fit(grams, counts), fit_languages(docs).models[0]
-    for name in ("grams", "shares", "contexts", "lefts"):
-        assert all(np.array_equal(x, y) for x, y in zip(getattr(want, name), getattr(got, name), strict=True))
+    scratch = Scratch(spark, "test-languages")
+    tables = fit_languages(docs, scratch, held_back=0).tables
+    for n in range(ORDER, 0, -1):
+        discount = (counts == 1).sum() / ((counts == 1).sum() + 2 * (counts == 2).sum()) if (counts == 1).any() and (counts == 2).any() else 0.5
+        heads, where = np.unique(grams.context(n).keys(), return_inverse=True)
+        total, kinds = np.bincount(where, counts), np.bincount(where)
+        for table, keys, values in ((SHARES, grams.keys(), (counts - discount) / total[where]), (LEFTS, heads, discount * kinds / total)):
+            order = np.argsort(keys)
+            place, entry = tables.find(2 * n + table, keys[order])
+            by = np.argsort(place)
+            assert np.array_equal(place[by], np.arange(len(keys))) and np.array_equal(entry["value"][by], values[order].astype(np.float32))
+            assert sum(k for (_, t), (_, _, k) in tables.places.items() if t == 2 * n + table) == len(keys)
+        grams, counts = summed(grams.last(n - 1), np.ones(len(grams))) if n > 1 else (grams, counts)
+    scratch.close()
 
 
 def counted(words):
@@ -91,7 +103,7 @@ def counted(words):
     return summed(grams, np.ones(len(grams)))
 
 
-WORDS = "abab abba baab cab abc ca ab ab 一帀 一b ۡabcab bca cabba abab".split()
+WORDS = "abab abba baab cab abc ca ab ab 一帀 一b ۡabcab bca cabba abab šabca".split()
 
 
 def plain_p(words, context, letter):
@@ -120,13 +132,22 @@ def gram_of(context, letter):
     return Grams(np.array([pack(codes[:2])]), np.array([pack(codes[2:])]))
 
 
-def test_kneser_ney_matches_plain_and_sums_to_one():
-    model = KneserNey.fit(*counted(WORDS))
-    letters = sorted({ord(c) for w in WORDS for c in w}) + [1, ord("?")]
-    contexts = {tuple(([0] * 4 + [ord(c) for c in w])[i : i + 4]) for w in WORDS for i in range(len(w) + 1)} | {(0, 0, 0, 120), (97, 98, 99, 100)}
+def fitted(spark, *texts):
+    """A model of each text, the languages named a, b and so on."""
+    ids = [i for i in range(4 * len(texts) + 8) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, chr(97 + k), t) for k, (i, t) in enumerate(zip(ids, texts))]
+    return fit_languages(spark.createDataFrame(rows, "id long, lang string, text string"), Scratch(spark, "test-languages"), held_back=0)
+
+
+def test_kneser_ney_matches_plain_and_sums_to_one(spark):
+    """Two languages in the same tables; each is as if it were alone, but for the letters that all know."""
+    model = fitted(spark, " ".join(WORDS), "bab abba ca")
+    words = letters_only(pa.array(WORDS)).to_pylist()
+    letters = sorted({ord(c) for w in words for c in w}) + [1, ord("?")]
+    contexts = {tuple(([0] * 4 + [ord(c) for c in w])[i : i + 4]) for w in words for i in range(len(w) + 1)} | {(0, 0, 0, 120), (97, 98, 99, 100)}
     for context in contexts:
-        got = np.array([np.exp(model.log_p(keys_of(gram_of(context, x))))[0] for x in letters])
-        assert np.allclose(got, [plain_p(WORDS, context, x) for x in letters], rtol=1e-5)
+        got = np.array([np.exp(next(model.log_p(gram_of(context, x))))[0] for x in letters])
+        assert np.allclose(got, [plain_p(words, context, x) for x in letters], rtol=1e-5)
         assert abs(got.sum() - 1) < 1e-5
     assert ORDER == 5
 
@@ -144,9 +165,24 @@ def test_letters_of_other_scripts(spark):
 
 
 @pytest.mark.parametrize("text", ["", None, "  ", "x" * 100_000])
-def test_ngrams_of_odd_words(text):
-    from wordloom.llm.language_id import LanguageModel
-
-    model = LanguageModel(["a"], [KneserNey.fit(*counted(["ab", "ba"]))])
+def test_ngrams_of_odd_words(spark, text):
+    model = fitted(spark, "ab ba")
     langs, score, accepted, entropy = model.predict(pa.array([text], pa.string()))
     assert len(langs) == len(score) == len(accepted) == len(entropy) == 1
+
+
+def test_equal_languages_and_dirty_names(spark):
+    """Equal models tie and go to the first by name; many names of one text each all get a model, and a limit."""
+    model = fitted(spark, "ab ba abba", "ab ba abba")
+    assert model.predict(pa.array(["abba"]))[0] == ["a"] and len(pickle.dumps(model)) < 20_000
+    rows = [(i, f"name {i}", "".join(chr(97 + (i * k) % 26) for k in range(1, 9)) + " " + chr(0x4E00 + i)) for i in range(150)]
+    docs = spark.createDataFrame([*rows, (1000, None, chr(0x4E00)), (1001, "", "plain words")], "doc_id long, lang string, text string")
+    got = identify_language(docs).collect()
+    learned = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert len(got) == 152 and {r.lang_pred for r in got} <= {f"name {i}" for i in learned} | {""}
+    by = {r.doc_id: r.lang_pred for r in got}
+    assert np.mean([by[i] == f"name {i}" for i in learned]) > 0.9
+
+
+def test_language_without_partners_is_whole(spark):
+    assert LanguageModel([]).predict(pa.array(["x", None]))[0] == ["und", "und"]

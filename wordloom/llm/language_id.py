@@ -3,23 +3,31 @@
 A model predicts each letter of a word, and its end, from the ``ORDER`` - 1 characters before it inside
 the word. Counts of the longest n-grams are gathered from every training text; the shorter orders hold
 Kneser-Ney continuation counts, and below the shortest lies one uniform share, the same for all languages,
-over the letters of all of them and one for any other letter. An n-gram is counted as its whole code points;
-tables are sorted arrays of 64-bit hashes, searched by bisection.
+over the letters of all of them and one for any other letter. An n-gram is counted as its whole code points.
+
+Models are fitted by grouped aggregations and written as sorted arrays of 64-bit hashes in a folder that all
+executors share: a hash's highest bits name its part, and all languages stand in the same arrays, so an n-gram is
+looked up once for all of them. Tasks map the files into memory; the driver and the tasks' functions hold only their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from contextlib import ExitStack
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .tokens import slices, split_words
+from ..session import Scratch
+from .tokens import ragged, slices, split_words
 from .toxicity import learned_from
 from .word_hash import mix
 
@@ -27,8 +35,10 @@ ORDER = 5
 #: Bits of a code point. Of an n-gram's characters the last three stand in one integer, the others in a second.
 BITS, LOW = 21, 3
 LETTER = (1 << BITS) - 1
-#: One in so many training texts sets the limits of rejection and is not counted, in languages of more than ``FEW`` texts.
-HELD_BACK, FEW = 16, 64
+#: One in so many training texts sets the limits of rejection and is not counted.
+HELD_BACK = 16
+#: Highest bits of a hash that name its part.
+PART_BITS = 5
 #: Letters beyond which a text counts as no surer.
 SURE_LETTERS = 20
 UNKNOWN = "und"
@@ -147,87 +157,174 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(count, "lang string, high long, low long, n long").groupBy("lang", "high", "low").agg(F.sum("n").alias("n"))
 
 
-def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Place of each key in a sorted table, or -1."""
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
+ENTRY = np.dtype([("lang", "<i4"), ("value", "<f4")])
+#: Of every order there are two tables: discounted shares of n-grams, and what contexts leave to the order below.
+SHARES, LEFTS = 0, 1
+
+
+def _last(high: Column, low: Column, n: int) -> tuple[Column, Column]:
+    """``Grams.last`` in columns."""
+    if n <= LOW:
+        return F.lit(0).cast("long"), low.bitwiseAND(F.lit((1 << BITS * n) - 1))
+    return high.bitwiseAND(F.lit((1 << BITS * (n - LOW)) - 1)), low
+
+
+def _context(high: Column, low: Column, n: int) -> tuple[Column, Column]:
+    """``Grams.context`` in columns."""
+    carried = F.shiftleft(high.bitwiseAND(F.lit(LETTER)), (LOW - 1) * BITS)
+    return _last(F.shiftright(high, BITS), F.shiftright(low, BITS).bitwiseOR(carried), n - 1)
+
+
+def shorter(counts: DataFrame, n: int) -> DataFrame:
+    """Continuation counts of n-grams: in how many contexts they go on, from the counts of the order above."""
+    high, low = _last(F.col("high"), F.col("low"), n)
+    return counts.select("lang", high.alias("high"), low.alias("low")).groupBy("lang", "high", "low").agg(F.count(F.lit(1)).alias("n"))
+
+
+def smoothed(counts: DataFrame, n: int) -> DataFrame:
+    """Entries (table, high, low, lang, value) of one order from its (lang, high, low, n). A context has as many rows as
+    letters follow it, so a window over one is no larger than an alphabet; discounts are one row per language."""
+    ones, twos = (F.sum((F.col("n") == k).cast("long")) for k in (1, 2))
+    discounts = counts.groupBy("lang").agg(ones.alias("ones"), twos.alias("twos"))
+    discount = F.when((F.col("ones") > 0) & (F.col("twos") > 0), F.col("ones") / (F.col("ones") + 2 * F.col("twos"))).otherwise(0.5)
+    head_high, head_low = _context(F.col("high"), F.col("low"), n)
+    heads = counts.withColumns({"head_high": head_high, "head_low": head_low})
+    same = Window.partitionBy("lang", "head_high", "head_low")
+    first = F.row_number().over(same.orderBy("high", "low")) == 1
+    sums = heads.select("*", F.sum("n").over(same).alias("total"), F.count(F.lit(1)).over(same).alias("kinds"), first.alias("first"))
+    sums = sums.join(F.broadcast(discounts.select("lang", discount.alias("discount"))), "lang")
+    entry = lambda table, high, low, value: F.struct(F.lit(2 * n + table).alias("table"), F.col(high).alias("high"), F.col(low).alias("low"), value.cast("float").alias("value"))
+    share = entry(SHARES, "high", "low", (F.col("n") - F.col("discount")) / F.col("total"))
+    left = entry(LEFTS, "head_high", "head_low", F.col("discount") * F.col("kinds") / F.col("total"))
+    return sums.select("lang", F.explode(F.when(F.col("first"), F.array(share, left)).otherwise(F.array(share))).alias("e")).select("e.table", "e.high", "e.low", "lang", "e.value")
+
+
+def write_tables(entries: DataFrame, root: str, bits: int = PART_BITS) -> Tables:
+    """Write entries by part, table, hash and language, as one file of hashes and one of values for each task.
+
+    A task names its files anew, so those of a task that was lost or run twice are never looked at.
+    """
+    fs, base = pafs.FileSystem.from_uri(root)
+    fs.create_dir(base, recursive=True)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = Grams(batch.column("high").to_numpy(), batch.column("low").to_numpy()).keys()
+            part = (keys >> np.uint64(64 - bits)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), batch.column("table"), pa.array(keys.view(np.int64)), batch.column("lang"), batch.column("value")], ["part", "table", "key", "lang", "value"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = pafs.FileSystem.from_uri(root)
+        name, at, runs = uuid.uuid4().hex, 0, {}
+        with ExitStack() as files:
+            out: list[pa.NativeFile] = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                if not out:
+                    out = [files.enter_context(store.open_output_stream(f"{folder}/{name}.{end}")) for end in ("keys", "values")]
+                values = np.empty(batch.num_rows, ENTRY)
+                values["lang"], values["value"] = batch.column("lang").to_numpy(), batch.column("value").to_numpy()
+                out[0].write(batch.column("key").to_numpy().astype("<i8").tobytes())
+                out[1].write(values.tobytes())
+                run = batch.column("part").to_numpy().astype(np.int64) << 8 | batch.column("table").to_numpy()
+                for key, first, n in zip(*np.unique(run, return_index=True, return_counts=True), strict=True):
+                    start, held = runs.get(int(key), (at + int(first), 0))
+                    runs[int(key)] = (start, held + int(n))
+                at += batch.num_rows
+        rows = [(name, key >> 8, key & 255, start, n) for key, (start, n) in runs.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()])] if rows else [pa.array([], k) for k in (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())], ["file", "part", "table", "start", "n"])
+
+    keyed = entries.mapInArrow(hashed, "part int, table int, key long, lang int, value float")
+    sorted_ = keyed.repartition(1 << bits, "part").sortWithinPartitions("part", "table", "key", "lang")
+    places = sorted_.mapInArrow(write, "file string, part int, table int, start long, n long").collect()
+    return Tables(root, bits, {(r["part"], r["table"]): (r["file"], r["start"], r["n"]) for r in places})
 
 
 @dataclass
-class KneserNey:
-    """Per order, sorted n-grams with their discounted share and sorted contexts with the weight they leave to the order below."""
-
-    grams: list[np.ndarray]
-    shares: list[np.ndarray]
-    contexts: list[np.ndarray]
-    lefts: list[np.ndarray]
-    uniform: float = 0.0
-
-    @classmethod
-    def fit(cls, grams: Grams, counts: np.ndarray, letters: int | None = None) -> KneserNey:
-        """letters is the number of letters, the end among them, that all models know; one more stands for all others."""
-        counts, tables = counts.astype(float), []
-        for n in range(ORDER, 0, -1):
-            ones, twos = (counts == 1).sum(), (counts == 2).sum()
-            discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-            heads, where = np.unique(grams.context(n).keys(), return_inverse=True)
-            total = np.bincount(where, counts, len(heads))
-            kinds = np.bincount(where, minlength=len(heads))
-            keys = grams.keys()
-            order = np.argsort(keys)
-            tables.append((keys[order], ((counts - discount) / total[where]).astype(np.float32)[order], heads, (discount * kinds / total).astype(np.float32)))
-            # The order below counts in how many contexts an n-gram goes on, not how often.
-            if n > 1:
-                grams, counts = summed(grams.last(n - 1), np.ones(len(grams)))
-                counts = counts.astype(float)
-        tables.reverse()
-        known = len(tables[0][0]) if letters is None else letters
-        return cls(*[[t[i] for t in tables] for i in range(4)], 1 / (known + 1))
-
-    def log_p(self, keys: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Of n-grams given by ``keys_of``."""
-        p = np.full(len(keys[0][0]), self.uniform)
-        for i, (gram, context) in enumerate(keys):
-            at, head = _find(self.grams[i], gram), _find(self.contexts[i], context)
-            share = np.where(at >= 0, self.shares[i][at], 0.0)
-            left = np.where(head >= 0, self.lefts[i][head], 1.0)
-            p = share + left * p
-        return np.log(p)
-
-
-def keys_of(grams: Grams) -> list[tuple[np.ndarray, np.ndarray]]:
-    """By order, the hashes of n-grams and of their contexts, for all models alike."""
-    return [(grams.last(n).keys(), grams.context(n).keys()) for n in range(1, ORDER + 1)]
+class Tables:
+    """Where the entries of each part and table lie. Files are mapped where the folder is a mounted one, else read."""
+
+    root: str
+    bits: int
+    places: dict[tuple[int, int], tuple[str, int, int]]
+    _open: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
+
+    def __getstate__(self) -> dict:
+        return {"root": self.root, "bits": self.bits, "places": self.places, "_open": {}}
+
+    def _array(self, name: str, kind: np.dtype) -> np.ndarray:
+        if name not in self._open:
+            fs, base = pafs.FileSystem.from_uri(self.root)
+            local = isinstance(fs, pafs.LocalFileSystem)
+            with pa.memory_map(f"{base}/{name}") if local else fs.open_input_file(f"{base}/{name}") as file:
+                self._open[name] = np.frombuffer(file.read_buffer(), kind)
+        return self._open[name]
+
+    def find(self, table: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of sorted distinct hashes: (place of the hash, entry), ordered by the entry's language."""
+        bounds = np.searchsorted(keys, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).tolist() + [len(keys)]
+        which, entries = [np.empty(0, np.int64)], [np.empty(0, ENTRY)]
+        for part in range(1 << self.bits):
+            first, end = bounds[part], bounds[part + 1]
+            if first == end or (part, table) not in self.places:
+                continue
+            file, start, n = self.places[part, table]
+            held = self._array(f"{file}.keys", np.dtype("<u8"))[start : start + n]
+            low = np.searchsorted(held, keys[first:end])
+            counts = np.searchsorted(held, keys[first:end], "right") - low
+            which.append(np.repeat(np.arange(first, end), counts))
+            entries.append(self._array(f"{file}.values", ENTRY)[start : start + n][ragged(low, counts)])
+        place, entry = np.concatenate(which), np.concatenate(entries)
+        order = np.argsort(entry["lang"], kind="stable")
+        return place[order], entry[order]
 
 
 @dataclass
 class LanguageModel:
     langs: list[str]
-    models: list[KneserNey]
+    tables: Tables | None = None
+    #: The share of a letter that no model knows.
+    uniform: float = 1.0
     #: Per language, the cross-entropy above which a text is not accepted as that language.
     limits: np.ndarray | None = None
 
+    def log_p(self, grams: Grams) -> Iterator[np.ndarray]:
+        """Of n-grams, for one language after the other."""
+        found = []
+        for n in range(1, ORDER + 1):
+            for table, part in ((LEFTS, grams.context(n)), (SHARES, grams.last(n))):
+                keys, where = np.unique(part.keys(), return_inverse=True)
+                place, entry = self.tables.find(2 * n + table, keys)
+                bounds = np.searchsorted(entry["lang"], np.arange(len(self.langs) + 1))
+                found.append((len(keys), where, place, entry["value"], bounds, table == LEFTS))
+        for k in range(len(self.langs)):
+            p = np.full(len(grams), self.uniform)
+            for size, where, place, value, bounds, is_left in found:
+                mine = slice(bounds[k], bounds[k + 1])
+                dense = np.full(size, float(is_left))
+                dense[place[mine]] = value[mine]
+                p = dense[where] * p if is_left else dense[where] + p
+            yield np.log(p)
+
     def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(cross-entropy of each text under each language, predicted characters of each text)."""
         words = _Words(texts)
         bounds, grams = _ngrams(words.words)
         _, one, where = np.unique(grams.keys(), return_index=True, return_inverse=True)
-        keys = keys_of(grams[one])
         sizes = np.diff(bounds)
         n_texts = len(words.first) - 1
         length = _sums((sizes * words.full)[words.which], words.first)
-        entropy = np.zeros((n_texts, len(self.models)))
-        for k, model in enumerate(self.models):
-            per_word = _sums(model.log_p(keys)[where], bounds) * words.full
+        entropy = np.zeros((n_texts, len(self.langs)))
+        for k, log_p in enumerate(self.log_p(grams[one]) if self.langs else ()):
+            per_word = _sums(log_p[where], bounds) * words.full
             entropy[:, k] = -_sums(per_word[words.which], words.first) / np.maximum(length, 1)
         return entropy, length
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(language, score, accepted, least cross-entropy)."""
         entropy, length = self.read(texts)
-        if not self.models:
+        if not self.langs:
             return [UNKNOWN] * len(length), np.zeros(len(length)), np.zeros(len(length), bool), np.zeros(len(length))
         best = entropy.argmin(axis=1)
         least = entropy[np.arange(len(best)), best]
@@ -246,22 +343,33 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
-def fit_languages(docs: DataFrame, *, held_back: int = HELD_BACK, few: int = FEW, accept: float = 0.999) -> LanguageModel:
+def fit_languages(docs: DataFrame, scratch: Scratch, *, held_back: int = HELD_BACK, accept: float = 0.999) -> LanguageModel:
     """docs (id, lang, text). Every row that ``learned_from`` admits and whose lang is not null is counted, but for one
-    in ``held_back`` by a hash of the id, in languages of more than ``few`` such rows: these set the rejection
-    limits, a quantile of their cross-entropies for each language. Smaller languages have no limit."""
+    in ``held_back`` by a hash of the id (0: none): these set the rejection limits. A language's limit comes from a
+    quantile of the cross-entropies of its held-back texts, or of those of all languages where that is higher or
+    it has none. A language all of whose texts fall among the held back is counted whole.
+
+    The number of jobs does not depend on the number of languages. Counts of each order are written to scratch, and the tables.
+    """
     training = docs.where(learned_from(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    large = [r["lang"] for r in training.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few).collect()]
-    held = F.col("lang").isin(large) & (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(held_back)) == 0)
-    counts = count_ngrams(training.where(~held)).persist()
-    model = LanguageModel(sorted(r["lang"] for r in counts.select("lang").distinct().collect()), [])
-    letters = counts.agg(F.count_distinct(F.col("low").bitwiseAND(LETTER))).first()[0]
-    for name in model.langs:
-        table = counts.where(F.col("lang") == name).select("high", "low", "n").toArrow()
-        high, low, n = (table.column(c).to_numpy() for c in ("high", "low", "n"))
-        model.models.append(KneserNey.fit(Grams(high, low), n, letters))
-    counts.unpersist()
-    if not model.models:
+    held = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(held_back)) == 0 if held_back else F.lit(False)
+    if held_back:
+        spared = [r["lang"] for r in training.groupBy("lang").agg(F.min(held).alias("all")).where("all").collect()]
+        held = held & ~F.col("lang").isin(spared)
+    counts = scratch.keep(count_ngrams(training.where(~held)), "counts")
+    model = LanguageModel(sorted(r["lang"] for r in counts.select("lang").distinct().collect()))
+    if not model.langs:
+        return model
+    # One row per language.
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(model.langs)), "number int, lang string")
+    order = counts.join(F.broadcast(numbers), "lang").select(F.col("number").alias("lang"), "high", "low", "n")
+    entries = smoothed(order, ORDER)
+    for n in range(ORDER - 1, 0, -1):
+        order = scratch.keep(shorter(order, n), f"order{n}")
+        entries = entries.unionByName(smoothed(order, n))
+    model.uniform = 1 / (order.agg(F.count_distinct("low")).first()[0] + 1)
+    model.tables = write_tables(entries, scratch.path("tables"))
+    if not held_back:
         return model
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,9 +378,10 @@ def fit_languages(docs: DataFrame, *, held_back: int = HELD_BACK, few: int = FEW
                 langs, _, _, entropy = model.predict(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(langs), pa.array(entropy)], ["lang", "found", "entropy"])
 
-    measured = training.where(held).select("lang", "text").mapInArrow(measure, "lang string, found string, entropy double").where("lang = found").groupBy("lang").agg(F.percentile_approx("entropy", accept, 10_000).alias("q")).collect()
-    quantiles = {r["lang"]: r["q"] for r in measured}
-    model.limits = np.array([1.05 * quantiles[x] if x in quantiles else np.inf for x in model.langs])
+    measured = training.where(held).select("lang", "text").mapInArrow(measure, "lang string, found string, entropy double").where("lang = found")
+    quantiles = {r["lang"]: r["q"] for r in measured.rollup("lang").agg(F.percentile_approx("entropy", accept, 10_000).alias("q")).collect()}
+    pooled = quantiles.get(None)
+    model.limits = np.array([np.inf if pooled is None else 1.05 * max(pooled, quantiles.get(x, 0.0)) for x in model.langs])
     return model
 
 
@@ -285,12 +394,13 @@ def identify_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     language predicts worse than nearly all of its own texts held back. Null ids are held out; repeated
     rows come out once each; ties go to the first language by name; other columns are not read.
 
-    Counting is one scan with partial sums per task, then an exchange of n-grams; scoring is a scan.
-    The models hold every n-gram of the training texts as two numbers; the driver fits them one language at a time, and
-    they go to the executors whole, so both need memory for the distinct n-grams, not for the texts.
+    Counting is one scan with partial sums per task, then exchanges of n-grams; scoring is a scan whose tasks map the
+    tables of the models from the shared folder. The driver holds the languages' names and limits and the files' names.
+    The result is written, and the tables are removed.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    model = fit_languages(base)
+    scratch = Scratch(docs.sparkSession, "languages")
+    model = fit_languages(base, scratch)
     kind = T.StructType([base.schema["id"], T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType()), T.StructField("cross_entropy", T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,4 +409,5 @@ def identify_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 langs, score, accepted, entropy = model.predict(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(langs, pa.string()), pa.array(score), pa.array(accepted), pa.array(entropy)], kind.names)
 
-    return base.select("id", (~learned_from(F.col("id"))).alias("held_out"), "text").mapInArrow(predict, kind).withColumnRenamed("id", id_col)
+    scored = base.select("id", (~learned_from(F.col("id"))).alias("held_out"), "text").mapInArrow(predict, kind)
+    return scratch.result(scored, "languages-found").withColumnRenamed("id", id_col)
