@@ -121,3 +121,14 @@ def test_pack_documents(spark):
         assert at <= 64
     assert pack_documents(docs.where("false"), PATH).count() == 0
     assert pack_documents(docs.withColumn("text", F.lit(None).cast("string")), PATH).select("sequence_id").distinct().count() == 1
+
+
+def test_equal_rows_spread_over_groups(spark):
+    docs = spark.range(6000).select(F.lit(1).alias("doc_id"), F.lit("the same words").alias("text"), F.lit("x").alias("salt"))
+    rows = pack_documents(docs, PATH, capacity=64, group_pieces=1000).collect()
+    each = 64 // rows[0].length
+    assert len(rows) == 6000 and len({r.sequence_id for r in rows}) <= -(-6000 // each) + 6
+    groups = defaultdict(int)
+    for r in rows:
+        groups[r.sequence_id >> 28] += 1
+    assert len(groups) >= 6 and max(groups.values()) < 1300

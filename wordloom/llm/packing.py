@@ -146,7 +146,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, *, id_col: str =
 
 
 def _packed(pieces: DataFrame, groups: int, round_: int, capacity: int) -> DataFrame:
-    kind = T.StructType([*[f for f in pieces.schema.fields if f.name in ("id", "piece", "start", "length", "ids_crc32")], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("fill", T.LongType())])
+    kind = T.StructType([*[f for f in pieces.schema.fields if f.name in ("id", "piece", "start", "length", "ids_crc32", "salt")], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("fill", T.LongType())])
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         group = int(frame["part"].iloc[0])
@@ -159,9 +159,9 @@ def _packed(pieces: DataFrame, groups: int, round_: int, capacity: int) -> DataF
                 which[i], offset[i] = number, at
                 at += lengths[i]
             fill[items] = at
-        return frame[["id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=(round_ << 56) + (group << 28) + which, offset=offset, fill=fill)
+        return frame[["id", "piece", "start", "length", "ids_crc32", "salt"]].assign(sequence_id=(round_ << 56) + (group << 28) + which, offset=offset, fill=fill)
 
-    part = F.pmod(F.xxhash64("id", "piece", "length", "ids_crc32", F.lit(round_)), F.lit(groups))
+    part = F.pmod(F.xxhash64("salt", F.lit(round_)), F.lit(groups))
     return pieces.withColumn("part", part).groupBy("part").applyInPandas(one, kind)
 
 
@@ -172,14 +172,16 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, id_
     hold the end id alone. Repeated rows are packed once each. Empty input gives an empty result;
     other columns are not read.
 
-    Texts are encoded once, in place; only five numbers per piece are shuffled, into groups of about
-    ``group_pieces`` by a hash of the piece, whatever the ids' distribution. Groups are packed apart;
+    Texts are encoded once, in place; only six numbers per piece are shuffled, into groups of about
+    ``group_pieces`` by a hash of a number that the piece's row got when it was written, so equal rows go to
+    different groups. Groups are packed apart;
     then the pieces of bins that are not full meet in fewer groups and are packed again, until one
     group is left or the number of groups stops shrinking.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    left = scratch.keep(cut_pieces(docs, tokenizer, capacity, id_col=id_col, text_col=text_col, end_id=end_id), "pieces")
+    pieces = cut_pieces(docs, tokenizer, capacity, id_col=id_col, text_col=text_col, end_id=end_id)
+    left = scratch.keep(pieces.withColumn("salt", F.monotonically_increasing_id()), "pieces")
     done: DataFrame | None = None
     groups = max(1, -(-left.count() // group_pieces))
     for round_ in range(ROUNDS):
