@@ -8,26 +8,27 @@ from pyspark.sql import functions as F
 from ..functions import encode as E
 from ..operators import entities, evaluation, segments, selection, tags, windows
 from ..operators.entities import Tagger
-from ..session import Scratch
+from ..session import Scratch, dealt
 from ..sources.transcripts import flattened
 
 
 def build_chunks(parsed: DataFrame, *, left: int = windows.LEFT, mid: int = windows.MID, right: int = windows.RIGHT, strict: bool = False, tagger: Tagger | None = None, keep_tail: bool = False) -> DataFrame:
     """Documents of chunks (filename, chunks) from parsed documents.
 
-    Shuffles on the document for offsets and entities, on document and window for sections, and on document and block for
-    the texts and words of windows. Token rows, entities and tagged tokens, which are read more than once, are written to
-    the scratch folder. Documents without a chunk give no row.
+    Documents are parsed once and dealt by document for offsets, entities and sections; texts and words of windows are
+    shuffled on document and block. Documents, entities, tagged tokens and cut windows, which are read more than once, are
+    written to the scratch folder. Documents without a chunk give no row.
     """
-    docs = flattened(parsed)
+    scratch = Scratch(parsed.sparkSession, "tokens")
+    docs = dealt(scratch.keep(flattened(parsed), "documents"), "doc")
     members = windows.window_members(windows.timed_words(docs), left, mid, right, strict=strict)
     chunks = windows.chunks(windows.sections(members))
     pairs = docs.select("doc", F.posexplode(F.arrays_zip("ntoks", "ptoks")).alias("pos", "t")).select("doc", "pos", F.col("t.ntoks").alias("ntok"), F.col("t.ptoks").alias("ptok"))
-    scratch = Scratch(parsed.sparkSession, "tokens")
-    tokens = scratch.keep(entities.with_offsets(pairs), "rows")
+    tokens = entities.with_offsets(pairs)
     found = scratch.keep(entities.tag_all(tokens, tagger), "entities")
     tagged = scratch.keep(entities.embed_tags(tokens, found), "tagged")
-    numbered = windows.number_chunks(segments.segment_texts(scratch.keep(chunks, "chunks"), tagged, found, keep_tail=keep_tail))
+    # Numbering reads its rows several times, first for bounds.
+    numbered = windows.number_chunks(scratch.keep(segments.segment_texts(scratch.keep(chunks, "chunks"), tagged, found, keep_tail=keep_tail), "texts"))
     spoken = docs.select("doc", F.posexplode("words").alias("idx", "word"))
     rows = windows.with_section_tokens(numbered, spoken)
     chunk = F.struct("left", "mid", "right", "puncted_text", "segmented_puncted_text", "global_chunk_number", F.col("doc").alias("filename"))
@@ -54,12 +55,13 @@ def evaluate(refs: DataFrame, hyps: DataFrame, *by: str, tagged: bool = True) ->
 
     by is doc for rows of each document and nothing for totals.
     """
-    rows = evaluation.aligned(evaluation.prepared_pairs(refs, hyps))
+    prepared = evaluation.prepared_pairs(refs, hyps)
+    rows = evaluation.aligned(prepared)
     positions = evaluation.exploded(rows)
     pairs = evaluation.label_pairs(evaluation.with_bio(positions)) if tagged else evaluation.span_text_pairs(positions)
     side = lambda s: evaluation.bio_spans(tags.bio_labels(positions, s))
     sums = ["hits", "substitutions", "deletions", "insertions", "char_errors", "chars"]
-    errors = evaluation.error_counts(rows).groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums])
+    errors = evaluation.error_counts(evaluation.cut_pairs(prepared)).groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums])
     out = {
         "errors": errors.withColumn("wer", evaluation.word_error_rate(*[F.col(c) for c in sums[:4]])),
         "case": evaluation.rates(evaluation.case_counts(positions, *by)),
