@@ -5,7 +5,7 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,59 +17,106 @@ PARSED = "doc {doc}, sentences array<struct<ptoks:array<string>,ntoks:array<stri
 NO_SPACE_BEFORE = ".,;:?!)"
 
 
-def parse_sentence(node: ET.Element) -> dict | None:
-    """Tokens of one sentence, or None if any part of it is not as it should be: a token without text, a leading mark, a
-    word without pronunciation or with a time that is no integer."""
-    written, spoken, times = [], [], []
-    for token in node.findall("t"):
-        text = token.text.strip() if token.text is not None else None
-        if text is None:
-            return None
-        if text in NO_SPACE_BEFORE:
-            if not written:
-                return None
-            written[-1] = written[-1].rstrip()
-        elif text == "$":
-            continue
-        words = []
-        for n in token.findall("n"):
-            said = n.get("pronunciation")
-            if said is None:
-                return None
-            words.append(said.lstrip("_"))
-            try:
-                times.append({"start": int(n.get("start")) if n.get("start") is not None else None, "end": int(n.get("end")) if n.get("end") is not None else None})
-            except ValueError:
-                return None
-        phrase = " ".join(words)
-        if phrase.endswith((" dollar", " dollars")) and "$" not in text:
-            text = "$" + text
-        written.append(text if text == "(" else text + " ")
-        spoken.append(phrase)
-    if not written:
-        return None
-    written[-1] = written[-1].strip()
-    return {"ptoks": written, "ntoks": spoken, "times": times}
+class _Sentences:
+    """Sentences of documents as flat columns with offsets, as Arrow holds nested lists."""
+
+    def __init__(self) -> None:
+        self.ptoks: list[str] = []
+        self.ntoks: list[str] = []
+        self.starts: list[int | None] = []
+        self.ends: list[int | None] = []
+        self.tokens, self.times, self.documents = [0], [0], [0]
+
+    def add(self, node: ET.Element) -> None:
+        """Add a sentence, unless any part of it is not as it should be: a token without text, a leading mark, a word
+        without pronunciation or with a time that is no integer."""
+        written, spoken, starts, ends = [], [], [], []
+        for token in node:  # not by findall, which costs more than the rest
+            if token.tag != "t":
+                continue
+            if token.text is None:
+                return
+            text = token.text.strip()
+            if text in NO_SPACE_BEFORE:
+                if not written:
+                    return
+                written[-1] = written[-1].rstrip()
+            elif text == "$":
+                continue
+            phrase = None
+            for n in token:
+                if n.tag != "n":
+                    continue
+                said, start, end = n.get("pronunciation"), n.get("start"), n.get("end")
+                if said is None:
+                    return
+                said = said.lstrip("_")
+                phrase = said if phrase is None else f"{phrase} {said}"
+                try:
+                    starts.append(None if start is None else int(start))
+                    ends.append(None if end is None else int(end))
+                except ValueError:
+                    return
+            if phrase and phrase.endswith((" dollar", " dollars")) and "$" not in text:
+                text = "$" + text
+            written.append(text if text == "(" else text + " ")
+            spoken.append(phrase or "")
+        if not written:
+            return
+        written[-1] = written[-1].strip()
+        self.ptoks += written
+        self.ntoks += spoken
+        self.starts += starts
+        self.ends += ends
+        self.tokens.append(len(self.ptoks))
+        self.times.append(len(self.starts))
+
+    def add_document(self, xml: str | None) -> None:
+        """Add the sentences of every ``p`` at any depth; none if the XML does not parse."""
+        try:
+            root = ET.fromstring(xml or "")
+        except ET.ParseError:
+            root = None
+        for p in root.iter("p") if root is not None else ():
+            for s in p:
+                if s.tag == "s":
+                    self.add(s)
+        self.documents.append(len(self.tokens) - 1)
+
+    def column(self) -> pa.Array:
+        offsets = lambda at: pa.array(at, pa.int32())
+        words = lambda values: pa.ListArray.from_arrays(offsets(self.tokens), pa.array(values, pa.string()))
+        times = pa.StructArray.from_arrays([pa.array(self.starts, pa.int64()), pa.array(self.ends, pa.int64())], ["start", "end"])
+        parts = [words(self.ptoks), words(self.ntoks), pa.ListArray.from_arrays(offsets(self.times), times)]
+        return pa.ListArray.from_arrays(offsets(self.documents), pa.StructArray.from_arrays(parts, ["ptoks", "ntoks", "times"]))
+
+
+#: Characters of XML whose sentences are held as lists at a time.
+PARSED_AT_ONCE = 4 << 20
 
 
 def parse_document(xml: str) -> list[dict]:
-    """Sentences that parse, of every ``p`` at any depth; none if the XML does not."""
-    try:
-        root = ET.fromstring(xml)
-    except ET.ParseError:
-        return []
-    found = (parse_sentence(s) for p in root.iter("p") for s in p.findall("s"))
-    return [s for s in found if s]
+    """Sentences that parse, of one document."""
+    found = _Sentences()
+    found.add_document(xml)
+    return found.column()[0].as_py()
 
 
 def parse_aligned(files: DataFrame) -> DataFrame:
-    """(doc, sentences) of (doc, xml)."""
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"doc": frame["doc"], "sentences": [parse_document(x) for x in frame["xml"]]})
-
-    return files.select("doc", "xml").mapInPandas(parse, PARSED.format(doc=files.schema["doc"].dataType.simpleString()))
+    """(doc, sentences) of (doc, xml). Sentences go out in parts of about ``PARSED_AT_ONCE`` characters of XML."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, held, found = 0, 0, _Sentences()
+            for i, xml in enumerate(batch.column("xml"), 1):
+                text = xml.as_py()
+                found.add_document(text)
+                held += len(text or "")
+                if held >= PARSED_AT_ONCE or i == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column("doc").slice(first, i - first), found.column()], ["doc", "sentences"])
+                    first, held, found = i, 0, _Sentences()
+
+    return files.select("doc", "xml").mapInArrow(parse, PARSED.format(doc=files.schema["doc"].dataType.simpleString()))
 
 
 def read_aligned(spark: SparkSession, path: str, name: str = "aligned.swc") -> DataFrame:
