@@ -1,5 +1,6 @@
 """Substring dedup, near-duplicates, components, decontamination."""
 
+import time
 import random
 
 from pyspark.sql import functions as F
@@ -199,3 +200,35 @@ def test_contaminated(spark):
     assert contaminated(frame.where("false"), tests).count() == 0
     assert contaminated(frame, tests.where("false")).count() == 0
     assert drop_contaminated(frame, tests.where("false")).where(F.col("doc_id") < 40).count() == 40
+
+
+def test_texts_are_exchanged_once_to_drop_copies(spark):
+    """Null ids and repeated rows are decided where the join put them, without another exchange."""
+    from pyspark.sql import Window
+    from wordloom.llm.near_dup import _same_rows
+
+    rows = spark.createDataFrame([(None, 5, "a"), (None, 5, "b"), (1, 5, "c"), (2, 6, "d"), (2, 7, "e")], "id long, th long, row string")
+    keys = spark.createDataFrame([(None, 5, True), (2, 7, False), (3, 5, True)], "id long, th long, bare boolean")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        first = _same_rows(rows, keys).withColumn("nth", F.row_number().over(Window.partitionBy("place", "th", "id").orderBy("row")))
+        plan = first._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" in plan and "Window" in plan
+        assert sorted((r.id, r.row, r.bare, r.nth) for r in first.collect() if r.id) == [(2, "e", False, 1)]
+        assert sorted((r.row, r.nth) for r in first.collect() if r.id is None) == [("a", 1), ("b", 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_kept_tables_leave_no_shuffle_files(spark, tmp_path, monkeypatch):
+    from wordloom.session import CLEANUP, Scratch
+
+    monkeypatch.setattr("wordloom.session.scratch_root", lambda spark: f"file://{tmp_path}")
+    stored = lambda: sum(1 for r in spark.sparkContext._jvm.java.io.File(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]).listFiles() for f in r.listFiles() or [] if f.getName().startswith("shuffle_"))
+    before, held = spark.conf.get(CLEANUP, None), stored()
+    kept = Scratch(spark, "kept").keep(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count(), "rows")
+    deadline = time.time() + 10
+    while stored() > held and time.time() < deadline:
+        time.sleep(0.1)
+    assert stored() <= held and kept.count() == 7 and spark.conf.get(CLEANUP, None) == before
