@@ -94,3 +94,83 @@ def test_odd_words(spark, store):
     spark.conf.set(STORE_KEY, "other")
     with pytest.raises(ValueError, match="stateStore"):
         stream_chunks(spark.createDataFrame(rows, KIND))
+
+
+def test_a_run_of_windows_shares_one_timer(spark, tmp_path: Path, store, monkeypatch):
+    """Windows of one run close one by one as the stream goes on, and all at once where it ends; a run's end is no gap. A
+    word for an earlier window than the one that the timer waits for brings the timer forward."""
+    from wordloom.streaming import chunks as C
+
+    files = [[(1, 45_000)], [(0, 1000)], [(2, 61_000), (3, 100_000)], [(i, 20_000 * i + 500) for i in range(6, 80)], [(99, 9_000_000)], [(100, 9_000_001)]]
+    for i, words in enumerate(files):
+        spark.createDataFrame([("d", 0, idx, f"w{idx}", at, at + 400) for idx, at in words], KIND).coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+    source = spark.readStream.schema(KIND).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "part*"))
+    out = run(spark, source, "timed_chunks", late="50 seconds")
+    text = {r.k: r.text for r in out if not r.is_late}
+    assert not any(r.is_late for r in out) and len(text) == sum(not r.is_late for r in out)
+    assert text[0] == "|w0|" and text[2] == "|w1|w2" and text[5] == "|w3|w6"
+    assert {k: t for k, t in text.items() if 6 <= k < 79} == {k: f"|w{k}|w{k + 1}" for k in range(6, 79)}
+    assert C.GROUP < 79
+
+
+def test_state_is_called_by_run_not_by_window():
+    """Forty windows that come and close together cost as many calls of the state store as one."""
+    from pyspark.sql import Row
+    from wordloom.streaming.chunks import _Windows
+
+    calls, timers = [], set()
+
+    class Handle:
+        def registerTimer(self, at):
+            calls.append(at)
+            timers.add(at)
+
+        def deleteTimer(self, at):
+            calls.append(at)
+            timers.discard(at)
+
+        def getListState(self, *_):
+            return Kept([])
+
+        def getValueState(self, *_):
+            return Kept(None)
+
+    class Kept:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def appendList(self, rows):
+            calls.append("append")
+            self.value = self.value + rows
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        put = update
+
+        def clear(self):
+            calls.append("clear")
+            self.value = [] if isinstance(self.value, list) else None
+
+    class At:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+    windows_ = _Windows(20_000, 5_000)
+    windows_.init(Handle())
+    rows = [Row(k=k, side="mid", idx=k, word=f"w{k}", start=20_000 * k + 1, end=20_000 * k + 2) for k in range(40)]
+    assert not list(windows_.handleInputRows(("d", 0, 0), iter(rows), At(0))) and timers == {25_000} and len(calls) <= 4
+    calls.clear()
+    timers.clear()
+    assert [r.k for r in windows_.handleExpiredTimer(("d", 0, 0), At(745_000), None)] == list(range(37)) and timers == {765_000} and len(calls) <= 4 and len(windows_.words.value) == 1
+    calls.clear()
+    assert [r.k for r in windows_.handleInputRows(("d", 0, 0), iter(rows[:1]), At(745_000)) if r.is_late] == [0] and not calls
+    assert [r.text for r in windows_.handleExpiredTimer(("d", 0, 0), At(10**9), None)] == [f"|w{k}|" for k in (37, 38, 39)] and len(calls) <= 3
