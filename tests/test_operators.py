@@ -3,6 +3,7 @@
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,29 @@ def test_entities_and_tags(spark):
     assert tagged == ["call ", "<PHONE_NUM>+1 ", "555-1234</PHONE_NUM> ", "<TIME>at ", "10AM</TIME> ", "<NUMERIC>20</NUMERIC>", "."]
 
 
+def test_spans_of_a_model(spark):
+    """Characters are code points; spans inside tokens, across an empty one, beyond the text and before it."""
+    spans = [("5", "MONEY", 3, 4), ("5 %", "PERCENT", 5, 8), ("a", "ORG", 1, 2), ("x", "ORG", -1, 2), ("é😀 $5", "ORG", 0, 5), ("z", "DATE", 5, 90), ("$5", "DATE", 2, 2), ("5", "MONEY", 0, 2)]
+    docs = spark.createDataFrame([(1, ["é😀", "$5", "", " 5% ", "z"]), (2, []), (3, None), (None, ["z"])], "doc int, ptoks array<string>")
+    found = entities.span_entities(docs, lambda ptoks: tuple(zip(*spans)) if len(ptoks) == 5 else (["z"] * len(ptoks), ["X"] * len(ptoks), [0] * len(ptoks), [1] * len(ptoks)))
+    got = sorted(tuple(r) for r in found.where("doc is not null").collect())
+    assert got == [(1, "$5", "MONEY", 1, 2), (1, "5", "MONEY", 0, 1)]
+    assert [tuple(r) for r in found.where("doc is null").collect()] == [(None, "z", "X", 0, 1)]
+
+
+def test_span_tokens_match_plain():
+    rng = random.Random(3)
+    for _ in range(300):
+        sizes = [rng.choice([0, 1, 1, 2, 5]) for _ in range(rng.randrange(9))]
+        stops = [sum(sizes[: i + 1]) for i in range(len(sizes))]
+        spans = [(rng.randrange(-2, 20), rng.randrange(-2, 20)) for _ in range(40)]
+        begins = {e - n: i for i, (e, n) in enumerate(zip(stops, sizes)) if n}
+        ends = {at: i + 1 for i, (e, n) in reversed(list(enumerate(zip(stops, sizes)))) if n for at in (e, e - 1)}
+        want = [(begins[a], ends[b]) if a in begins and b in ends and ends[b] > begins[a] else (0, 0) for a, b in spans]
+        first, last = entities.span_tokens(np.array(sizes, np.int64), *(np.array(x, np.int64) for x in zip(*spans)))
+        assert list(zip(first.tolist(), last.tolist())) == want
+
+
 def test_merge_keeps_other_overlaps(spark):
     one = spark.createDataFrame([("d", "a", "", "TIME", 0, 2, 0, 2, 1), ("d", "b", "", "DATE", 1, 3, 0, 2, 2)], "doc string, val string, normalized_val string, label string, puncted_start int, puncted_end int, nstart int, nend int, ord long")
     two = spark.createDataFrame([("d", "c", "", "TIME", 1, 4, 0, 2, 1), ("d", "e", "", "TIME", 0, 1, 0, 2, 2), ("d", "f", "", "TIME", 8, 9, 0, 2, 3)], one.schema)
