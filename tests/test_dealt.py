@@ -25,16 +25,19 @@ def test_tokens_stay_with_their_document(spark, name):
     assert found and all("REPARTITION_BY_NUM" in line for line in found)
 
 
-def test_spans_exchange_texts_alone_in_large_tables(spark):
+@pytest.mark.parametrize("name", ["span_entities", "entity_pairs", "aligned_entity_texts"])
+def test_tokens_stay_in_large_tables(spark, name):
     """Large tables are not broadcast; joins of tokens by document and place would then exchange them once more."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = QUERIES["span_entities"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        frame = QUERIES[name](spark, SF)
+        found = exchanges(frame)
+        plan = frame._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
-    assert "Sort" not in plan and "Generate" not in plan
+    assert found and all("REPARTITION_BY_NUM" in line for line in found)
+    assert name != "span_entities" or "Sort" not in plan and "Join" not in plan
 
 
 def test_partitions_follow_the_files(spark, monkeypatch):
