@@ -21,8 +21,7 @@ def build_chunks(parsed: DataFrame, *, left: int = windows.LEFT, mid: int = wind
     """
     scratch = Scratch(parsed.sparkSession, "tokens")
     docs = dealt(scratch.keep(flattened(parsed), "documents"), "doc")
-    members = windows.window_members(windows.timed_words(docs), left, mid, right, strict=strict)
-    chunks = windows.chunks(windows.sections(members))
+    chunks = windows.chunks(windows.word_sections(windows.timed_words(docs), left, mid, right, strict=strict))
     pairs = docs.select("doc", F.posexplode(F.arrays_zip("ntoks", "ptoks")).alias("pos", "t")).select("doc", "pos", F.col("t.ntoks").alias("ntok"), F.col("t.ptoks").alias("ptok"))
     tokens = entities.with_offsets(pairs)
     found = scratch.keep(entities.tag_all(tokens, tagger), "entities")
